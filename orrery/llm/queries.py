@@ -15,5 +15,34 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe}
-ORACLES: dict[str, str] = {}
+#: The rule list that op2 applies: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import STATISTICS, quality_rules
+
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *STATISTICS, "base_failed", "kept")
+
+
+OP2_SQL = """
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES """ + ", ".join(str(r) for r in URL_RULES) + """),
+parts AS (
+  SELECT page_id, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), '') AS raw_host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+named AS (SELECT row_number() OVER () AS n, page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+fits AS (
+  SELECT n, rule_host || rule_path AS rule, rule_verdict, row_number() OVER (PARTITION BY n ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+  FROM named JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM named LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
+"""
+
+QUERIES = {"op2_url_filter": op2_url_filter, "op5_quality_rules": op5_quality_rules, "op9_byte_bpe": op9_byte_bpe}
+ORACLES = {"op2_url_filter": OP2_SQL}
