@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import html_text
+
+    return html_text(table(spark, sf_dir, "pages"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,5 +50,5 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM named LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
 """
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op5_quality_rules": op5_quality_rules, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op2_url_filter": op2_url_filter, "op5_quality_rules": op5_quality_rules, "op7_html_text": op7_html_text, "op9_byte_bpe": op9_byte_bpe}
 ORACLES = {"op2_url_filter": OP2_SQL}
