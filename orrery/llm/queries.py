@@ -25,6 +25,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import toxicity
+
+    held_out = (3, 1)
+    judged = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+    return judged.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % held_out[0] == held_out[1]).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -50,5 +60,5 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM named LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
 """
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op5_quality_rules": op5_quality_rules, "op7_html_text": op7_html_text, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filter": op2_url_filter, "op5_quality_rules": op5_quality_rules, "op7_html_text": op7_html_text, "op9_byte_bpe": op9_byte_bpe}
 ORACLES = {"op2_url_filter": OP2_SQL}
