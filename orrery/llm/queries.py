@@ -13,6 +13,16 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .quality_knn import quality_votes
+
+    held_out = (5, 0)
+    judged = quality_votes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+    return judged.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % held_out[0] == held_out[1]).alias("held_out"), "score", "predicted")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,5 +70,5 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM named LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filter": op2_url_filter, "op5_quality_rules": op5_quality_rules, "op7_html_text": op7_html_text, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filter": op2_url_filter, "op5_quality_rules": op5_quality_rules, "op7_html_text": op7_html_text, "op8_quality_votes": op8_quality_votes, "op9_byte_bpe": op9_byte_bpe}
 ORACLES = {"op2_url_filter": OP2_SQL}
