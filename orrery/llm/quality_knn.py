@@ -107,7 +107,7 @@ class LatentVotes:
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
         weights = np.maximum(np.take_along_axis(cosines, near, 1), 0) ** self.power
         score = ((weights * self.labels[near]).sum(1) + 0.5 * self.prior) / (weights.sum(1) + 0.5)
-        return np.where(x.any(1), score, self.prior).astype(float)
+        return np.where(x.any(1), score.astype(float), self.prior)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, sample: int = 6_000, rank: int = 40, k: int = 15, power: int = 8) -> LatentVotes:
