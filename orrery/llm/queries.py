@@ -51,6 +51,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import STATISTICS, quality_rules
 
@@ -70,5 +76,5 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM named LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filter": op2_url_filter, "op5_quality_rules": op5_quality_rules, "op7_html_text": op7_html_text, "op8_quality_votes": op8_quality_votes, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filter": op2_url_filter, "op3_near_duplicates": op3_near_duplicates, "op5_quality_rules": op5_quality_rules, "op7_html_text": op7_html_text, "op8_quality_votes": op8_quality_votes, "op9_byte_bpe": op9_byte_bpe}
 ORACLES = {"op2_url_filter": OP2_SQL}
