@@ -63,6 +63,22 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .wordpiece import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=2048)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import STATISTICS, quality_rules
 
@@ -82,5 +98,5 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM named LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filter": op2_url_filter, "op3_near_duplicates": op3_near_duplicates, "op5_quality_rules": op5_quality_rules, "op7_html_text": op7_html_text, "op8_quality_votes": op8_quality_votes, "op9_byte_bpe": op9_byte_bpe, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filter": op2_url_filter, "op3_near_duplicates": op3_near_duplicates, "op4_token_counts": op4_token_counts, "op5_quality_rules": op5_quality_rules, "op6_best_fit_packing": op6_best_fit_packing, "op7_html_text": op7_html_text, "op8_quality_votes": op8_quality_votes, "op9_byte_bpe": op9_byte_bpe, "op10_fingerprints": op10_fingerprints}
 ORACLES = {"op2_url_filter": OP2_SQL}
