@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: A word is a run of characters other than ASCII white space, in every operator of this subpackage that counts words.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,7 +37,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     prepare(df.sparkSession)
     return df.mapInArrow(function, schema)
 

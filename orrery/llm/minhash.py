@@ -227,3 +227,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = classes.select("n", "digest", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("n", "digest", F.coalesce("component", "id").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
     return prints.select("doc_id", "n", "digest").join(known, ["n", "digest"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, of the documents that near_duplicates() keeps; of rows with the same id one.
+
+    Rows with a null id name no document and all stay. Only the ids that go, or that several rows have, meet the
+    documents, so texts are shuffled only where those ids are too many to be sent to every task.
+    """
+    scratch = Scratch(docs.sparkSession)
+    judged = near_duplicates(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    odd = scratch.save(judged.filter("doc_id is not null and (not kept or rows > 1)").select("doc_id", "kept"))
+    repeated = docs.join(odd.filter("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(odd.select("doc_id"), "doc_id", "left_anti").unionByName(repeated)

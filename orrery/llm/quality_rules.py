@@ -198,11 +198,27 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, leas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure(t) for t in batch.column("text").to_pylist()]
-            statistics = np.array([s for s, _ in found], np.int64).reshape(-1, len(STATISTICS))
-            failed = base_failed(statistics)
-            score = trees.score(np.array([f for _, f in found], float).reshape(-1, len(FEATURES)))
+            statistics, failed, score = judge(batch.column("text").to_pylist(), trees)
             columns = {"doc_id": batch.column("doc_id")} | {k: pa.array(statistics[:, i]) for i, k in enumerate(STATISTICS)}
             yield pa.RecordBatch.from_pydict(columns | {"base_failed": pa.array(failed), "kept": pa.array(~failed & (score >= least)), "score": pa.array(score)})
 
     return map_arrow(source, run, f"doc_id {dict(source.dtypes)['doc_id']}, " + ", ".join(f"{k} long" for k in STATISTICS) + ", base_failed boolean, kept boolean, score double")
+
+
+def judge(texts: list[str], trees: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Statistics, whether the base rules fail, and the trees' scores."""
+    found = [measure(t) for t in texts]
+    statistics = np.array([s for s, _ in found], np.int64).reshape(-1, len(STATISTICS))
+    return statistics, base_failed(statistics), trees.score(np.array([f for _, f in found], float).reshape(-1, len(FEATURES)))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_rules() keeps."""
+    trees = fit_trees(docs, labels, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, failed, score = judge([t or "" for t in batch.column("text").to_pylist()], trees)
+            yield batch.filter(pa.array(~failed & (score >= least)))
+
+    return map_arrow(docs, run, docs.schema)

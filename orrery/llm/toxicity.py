@@ -281,3 +281,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | Non
             )
 
     return map_arrow(source, run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:{'string' if label_kind == 'string' else 'long'},cosine:double,toxic:int>>")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, least: float = 0.7, sample: int = 12_000) -> DataFrame:
+    """The rows of docs, with all their columns, that toxicity() does not predict toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, held_out, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(shared.value.terms)
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.judge(vocabulary.count(t or ""))[0] < least for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
