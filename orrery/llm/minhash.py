@@ -4,7 +4,7 @@
    keys come from whole minima; of each minimum only the low two bits are kept, packed into seven longs.
 2. Texts with equal sets are one class, stood for by its smallest id, so exact copies cost nothing further.
 3. Classes that share a band key are candidates. First each meets the smallest id of its bucket; then, once those links have
-   formed components, only members of different components of a bucket meet, in blocks of a bounded number.
+   formed components, only members of different components of a bucket meet, in blocks of a bounded number that yield links alone.
 4. A candidate pair goes on if its sizes allow the similarity and if the Jaccard estimate from the packed bits, corrected for chance
    collisions, is no more than MARGIN below the threshold (over six standard deviations); it becomes a link by the exact
    similarity of the full sets.
@@ -31,8 +31,10 @@ BANDS, ROWS, BITS = 36, 6, 2
 PERMUTATIONS = BANDS * ROWS
 LONGS = -(-PERMUTATIONS * BITS // 64)
 MARGIN = 0.2
-#: Members of a bucket that meet in one block of the second round.
+#: Members that meet in one block of the second round, of 500 shingles each on average at most; a quarter as many ask.
 CHUNK = 1_000
+#: Documents whose ids are sent to every task at most (8 bytes each).
+BROADCAST_IDS = 2_000_000
 _RNG = np.random.default_rng(20_240_229)
 _MULTIPLY = _RNG.integers(0, 2**32, PERMUTATIONS, np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, PERMUTATIONS, np.uint32)
@@ -167,22 +169,90 @@ def _possible(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Col
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (estimate(a, b) >= percent / 100 - MARGIN)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+def named_sets(docs: DataFrame, ids: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """doc_id and shingle set of the documents that ``ids`` (id) names, made again from their texts rather than kept for all.
+
+    Up to BROADCAST_IDS names are sent to every task, so that no text is shuffled; more meet the documents by shuffle.
+    """
+    named = scratch.save(ids.select(F.col("id").alias("doc_id")).distinct())
+    few = named.count() <= BROADCAST_IDS
+    sets = scratch.save(shingle_sets(docs.select("doc_id", "text").join(F.broadcast(named) if few else named, "doc_id", "left_semi"), width))
+    scratch.drop(named)
+    return sets
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    Sets are made again from the texts that candidates name, rather than kept for all documents. The side b is joined first:
-    each pair then carries one set, and one row of a meets its pairs as a stream.
+    The side b is joined first: each pair then carries one set, and one row of a meets its pairs as a stream.
     """
-    pairs = scratch.save(pairs.distinct())
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch.save(shingle_sets(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), width))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     held = pairs.join(right, "b").join(left, "a").filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both))
-    links = scratch.save(held.select("a", "b").distinct())
-    scratch.drop(sets)
-    scratch.drop(pairs)
+    return scratch.save(held.select("a", "b"))
+
+
+def block_links(block: pa.Table, percent: int) -> pa.Table:
+    """Links between the asking members of a block and its others, enough to join every two components that any link joins.
+
+    Pairs whose sizes and packed bits allow the similarity are confirmed on the full sets, the likeliest first; pairs of
+    components that a confirmed link has joined are passed over.
+    """
+    ids, labels, asks = block.column("id").to_pylist(), block.column("component").to_pylist(), np.array(block.column("asks").to_pylist(), bool)
+    bits = np.array(block.column("bits").to_pylist(), np.int64).view(np.uint64)
+    sets = [np.asarray(x, np.int64) for x in block.column("members").combine_chunks().to_numpy(zero_copy_only=False)]
+    sizes = np.array([len(x) for x in sets])
+    parent = {c: c for c in labels}
+
+    def root(c: object) -> object:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    others = np.flatnonzero(~asks)
+    found: list[tuple[float, int, int]] = []
+    for x in np.flatnonzero(asks):
+        differ = bits[others] ^ bits[x]
+        equal = 1 - np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64) / PERMUTATIONS
+        near = (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
+        ok = (near >= percent / 100 - MARGIN) & (100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x]))
+        found += [(-near[k], int(x), int(others[k])) for k in np.flatnonzero(ok)]
+    links = []
+    for _, x, y in sorted(found):
+        a, b = root(labels[x]), root(labels[y])
+        if a != b:
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                parent[a] = b
+                links.append((ids[x], ids[y]))
+    kind = block.schema.field("id").type
+    return pa.table([pa.array([x for x, _ in links], kind), pa.array([y for _, y in links], kind)], ["a", "b"])
+
+
+def links_across(wide: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between members of the same bucket that are in different components (wide: key, id, leader, component).
+
+    In each bucket the members outside its leader's component ask. Buckets of the same leading component form one group; a
+    group's askers and members are dealt into blocks of bounded numbers and set sizes, every block of askers meets every
+    block of members in a task of its own, and only links leave it.
+    """
+    mixed = wide.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.max(F.when(F.col("id") == F.col("leader"), F.col("component"))).alias("group")).filter("lowest <> highest").select("key", "group")
+    rows = wide.join(mixed, "key").select("group", "id", "component").distinct().withColumn("asker", F.col("component") != F.col("group"))
+    full = sets.select(F.col("doc_id").alias("id"), "members")
+    rows = scratch.save(rows.join(sketch, "id").join(full, "id"))
+    heavy = lambda n, size, most: F.greatest(F.ceil(n / most), F.ceil(size / (most * 500)), F.lit(1)).cast("int")
+    ask = F.when(F.col("asker"), 1).otherwise(0)
+    blocks = rows.groupBy("group").agg(heavy(F.sum(ask), F.sum(ask * F.col("n")), max(1, CHUNK // 4)).alias("of_askers"), heavy(F.count("*"), F.sum("n"), CHUNK).alias("of_members"))
+    dealt = rows.join(blocks, "group").withColumn("place", F.xxhash64("id"))
+    mine = lambda column: F.pmod("place", F.col(column)).cast("int")
+    every = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+    carried = ["group", "id", "component", "bits", "members"]
+    asking = dealt.filter("asker").select(*carried, F.lit(True).alias("asks"), mine("of_askers").alias("i"), every("of_members").alias("j"))
+    asked = dealt.select(*carried, F.lit(False).alias("asks"), mine("of_members").alias("j"), every("of_askers").alias("i"))
+    kind = dict(rows.dtypes)["id"]
+    links = scratch.save(asking.unionByName(asked).groupBy("group", "i", "j").applyInArrow(lambda block: block_links(block, percent), f"a {kind}, b {kind}"))
+    scratch.drop(rows)
     return links
 
 
@@ -207,22 +277,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     side = lambda name: sketch.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
     possible = _possible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
     first = shared.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(first.join(side("b"), "b").join(side("a"), "a").filter(possible).select("a", "b"), docs, width, percent, scratch)
-
-    label = scratch.save(connected_components(links, scratch))
-    wide = shared.filter("size > 2").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    wide = scratch.save(wide)
-    mixed = wide.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.max(F.when(F.col("id") == F.col("leader"), F.col("component"))).alias("main")).filter("lowest <> highest").select("key", "main")
-    rows = wide.join(mixed, "key").join(sketch, "id").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    apart = rows.filter("component <> main").select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "bits", "component")))
-    others = rows.filter("id <> leader").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "main", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "bits", "component")))
-    # Two members that both stand apart would meet twice: the one of the larger id asks.
-    once = (F.col("component_a") == F.col("main")) | (F.col("id_a") < F.col("id_b"))
-    second = apart.join(others, ["key", "chunk"]).filter((F.col("component_a") != F.col("component_b")) & once & possible)
-    links = links.union(confirmed(second.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")), docs, width, percent, scratch))
+    sets = named_sets(docs, shared, width, scratch)
+    links = confirmed(first.join(side("b"), "b").join(side("a"), "a").filter(possible).select("a", "b"), sets, percent, scratch)
 
+    label = connected_components(links, scratch).withColumnRenamed("node", "id")
+    wide = scratch.save(shared.filter("size > 2").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    links = links.union(links_across(wide, sketch, sets, percent, scratch))
     label = scratch.save(connected_components(links, scratch))
-    for done in (wide, shared):
+    for done in (wide, shared, sets):
         scratch.drop(done)
     known = classes.select("n", "digest", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("n", "digest", F.coalesce("component", "id").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
