@@ -120,7 +120,7 @@ class StoredField:
         if abs(double) < 2**53 or abs(double) >= 1e30:
             tie = F.lit("=" in sign)
         else:
-            exact, bound = self.text.cast("decimal(38,0)"), F.lit(str(int(target))).cast("decimal(38,0)")
+            exact, bound = self.text.try_cast("decimal(38,0)"), F.lit(str(int(target))).cast("decimal(38,0)")
             tie = {">": exact > bound, ">=": exact >= bound, "<": exact < bound, "<=": exact <= bound}[sign]
         return number & (strict | ((self.num == double) & tie))
 
@@ -179,7 +179,7 @@ class TypedField:
             return target if self.type == "string" else None
         if isinstance(target, (int, float)) and self.number:
             value = (int(target) if target == int(target) else None) if self.whole else float(target)
-            return value if value == target else None
+            return value if value == target and (not self.whole or -(2**63) <= value < 2**63) else None
         return None
 
     def equal(self, target: Any) -> Column:

@@ -80,8 +80,10 @@ def json_field(document: Column, name: str) -> Column:
 
     A name is one key and never a path. Numbers inside arrays and objects keep the spelling of the document.
     """
-    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-    value = F.variant_get(F.try_parse_json(document), f"$['{quoted}']", "variant")
+    if "'" in name and '"' in name:
+        raise ValueError("A path cannot name a key that has both kinds of quotes")
+    path = f'$["{name}"]' if "'" in name else f"$['{name}']"
+    value = F.variant_get(F.try_parse_json(document), path, "variant")
     schema = F.schema_of_variant(value)
     number = schema.isin("BIGINT", "DOUBLE") | schema.startswith("DECIMAL")
     kind = (
