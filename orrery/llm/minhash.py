@@ -251,7 +251,9 @@ def links_across(wide: DataFrame, sketch: DataFrame, sets: DataFrame, percent: i
     asking = dealt.filter("asker").select(*carried, F.lit(True).alias("asks"), mine("of_askers").alias("i"), every("of_members").alias("j"))
     asked = dealt.select(*carried, F.lit(False).alias("asks"), mine("of_members").alias("j"), every("of_askers").alias("i"))
     kind = dict(rows.dtypes)["id"]
-    links = scratch.save(asking.unionByName(asked).groupBy("group", "i", "j").applyInArrow(lambda block: block_links(block, percent), f"a {kind}, b {kind}"))
+    # Without this exchange Spark would keep the blocks of a group together, as the join by group has left them.
+    met = asking.unionByName(asked).repartition("group", "i", "j")
+    links = scratch.save(met.groupBy("group", "i", "j").applyInArrow(lambda block: block_links(block, percent), f"a {kind}, b {kind}"))
     scratch.drop(rows)
     return links
 
