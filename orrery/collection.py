@@ -153,24 +153,22 @@ class Collection:
         text = F.lit("{}") if "metadata" not in kinds else F.coalesce(F.col("metadata") if kinds["metadata"] == "string" else F.to_json("metadata"), F.lit("{}"))
         name = F.col("id").cast("string") if "id" in kinds else F.lit(None).cast("string")
         checked = df.select(name.alias("id"), F.col("vector").cast("array<float>").alias("vector"), text.alias("json")).withColumn("error", vector_error(F.col("vector"), self.dim))
-        staged = self.spark.read.parquet(self._space.write(checked))
-        bad = staged.filter("error is not null")
+        rows, n = self._numbered(checked)
+        bad = rows.filter("error is not null")
         errors = [f"Vector {r.id}: {r.error}" for r in bad.select("id", "error").limit(most_errors).collect()]
-        n_bad = bad.count()
-        rows, n = self._numbered(staged.filter("error is null").select("id", "vector", "json"))
-        if not n:
+        n_bad = len(errors) if len(errors) < most_errors else bad.count()
+        if n == n_bad:
             return AddResult(0, n_bad, errors, (n_bad, self.dim), [])
+        rows = rows.filter("error is null").drop("error")
         rows = rows.withColumn("id", F.coalesce("id", F.concat(F.lit("vec_"), F.col("ordinal") + 1 + self._generated)))
         self._generated += n
         taken, inserted = self._insert(rows, overwrite, n, most_errors)
-        lost = n - inserted
         errors += [f"Vector {i}: Vector with ID '{i}' already exists" for i in taken]
-        return AddResult(inserted, n_bad + lost, errors + self._maybe_train(), (n + n_bad, self.dim), [])
+        return AddResult(inserted, n - inserted, errors + self._maybe_train(), (n, self.dim), [])
 
     def _numbered(self, rows: DataFrame) -> tuple[DataFrame, int]:
-        """Rows with a dense ordinal in reading order: the partitions' counts are added up on the driver."""
-        path = self._space.write(rows)
-        marked = self.spark.read.parquet(path).withColumn("mark", F.monotonically_increasing_id())
+        """The rows, written, with a dense ordinal in the order of partitions and of rows in them (files come back in another order)."""
+        marked = self.spark.read.parquet(self._space.write(rows.withColumn("mark", F.monotonically_increasing_id())))
         part = F.shiftright("mark", 33)
         counts = sorted(map(tuple, marked.groupBy(part.alias("part")).count().collect()))
         start, total = [], 0

@@ -267,6 +267,23 @@ def condition(node: Node, resolve: Resolver) -> Column:
     return at.any_of(target) if operator == "any" else at.all_of(target)
 
 
+def bound_condition(node: Node, make: Callable[[str], Column]) -> Column:
+    """The condition over fields that are costly to make (make: name -> column form): each is computed once for a row."""
+    known: dict[str, StoredField] = {}
+
+    def within(left: list[str]) -> Column:
+        if not left:
+            return condition(node, known.__getitem__)
+
+        def bind(field: Column) -> Column:
+            known[left[0]] = StoredField(field)
+            return within(left[1:])
+
+        return F.exists(F.array(make(left[0])), bind)
+
+    return within(sorted(names(node)))
+
+
 class Missing:
     """A field that no record has."""
 

@@ -83,7 +83,10 @@ def json_field(document: Column, name: str) -> Column:
     if "'" in name and '"' in name:
         raise ValueError("A path cannot name a key that has both kinds of quotes")
     path = f'$["{name}"]' if "'" in name else f"$['{name}']"
-    value = F.variant_get(F.try_parse_json(document), path, "variant")
+    return F.transform(F.array(F.variant_get(F.try_parse_json(document), path, "variant")), _variant_field)[0]
+
+
+def _variant_field(value: Column) -> Column:
     schema = F.schema_of_variant(value)
     number = schema.isin("BIGINT", "DOUBLE") | schema.startswith("DECIMAL")
     kind = (

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.filters import StoredField, condition, parse, where
+from .functions.filters import bound_condition, parse, where
 from .functions.metrics import SPACES, norm, normalise, vector_error
 from .functions.values import json_field
 from .operators.ivf import assign, cell_count, fit_cells, probes
@@ -116,7 +116,7 @@ query("filter_missing", "SELECT d.doc_id FROM documents d LEFT JOIN labels l USI
 
 
 def _events(spark: SparkSession, d: str, wanted: dict) -> DataFrame:
-    return table(spark, d, "events").filter(condition(parse(wanted), lambda n: StoredField(json_field(F.col("props"), n)))).select("event_id")
+    return table(spark, d, "events").filter(bound_condition(parse(wanted), lambda n: json_field(F.col("props"), n))).select("event_id")
 
 
 for _name, _wanted, _sql in (

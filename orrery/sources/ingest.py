@@ -97,7 +97,7 @@ def _one(name: str | None, vector: Any, metadata: dict, dim: int) -> tuple[list[
 
 def _mapping(data: dict, dim: int) -> tuple[list[Record], list[str]]:
     vectors = _first(data, "vectors", "embeddings", "values")
-    plural = "vectors" in data or "embeddings" in data or isinstance(data.get("values"), np.ndarray) and data["values"].ndim == 2 or isinstance(data.get("values"), (list, tuple)) and len(data["values"]) and isinstance(data["values"][0], (list, tuple, np.ndarray))
+    plural = "ids" in data or "vectors" in data or "embeddings" in data or isinstance(data.get("values"), np.ndarray) and data["values"].ndim == 2 or isinstance(data.get("values"), (list, tuple)) and len(data["values"]) and isinstance(data["values"][0], (list, tuple, np.ndarray))
     if not plural:
         vector = _first(data, "values", "vector")
         if vector is None:
