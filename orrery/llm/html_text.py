@@ -34,7 +34,7 @@ HEADING = set("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_TAGS = set("nav header footer aside form dialog menu fieldset".split())
 ARTICLE_TAGS = {"article", "main"}
 #: Words in class, id or role that mark furniture or the article.
-FURNITURE_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert popup overlay modal newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead comment comments commentlist disqus respond reply replies toolbar search copyright contentinfo complementary disclaimer teaser".split())
+FURNITURE_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert popup overlay modal newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead comment comments commentlist disqus respond reply replies toolbar search copyright contentinfo complementary disclaimer teaser adbox adslot adsbygoogle affiliate commercial taboola outbrain aside side sidenav rail dropdown topnav topbar sitemap logo branding form signin register poll survey responses response discussion feedback legal warning announcement paywall toast imprint colophon".split())
 ARTICLE_WORDS = set("article content post entry story main text".split())
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "in_furniture", "heading")

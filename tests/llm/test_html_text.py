@@ -18,6 +18,9 @@ CASES = [
     ("<article><p title='a > b'>v</p><p>1 < 2</p></article>", "v\n1 < 2"),
     ("<nav><a href=x>m</a></nav><main><p>m1</p><aside>s</aside><p>m2</p></main><div id=comments><p>c c c c c c c c c c c c c c c c c</p></div>", "m1\nm2"),
     ("<header>h</header><article><form>f<input></form><p>t</p><section class=comments><article>c</article></section><p>u</p></article>", "t\nu"),
+    ("<div class='topBar'>t</div><div class='entry-content'><p class=notice>n<p>one<p>two</div><ol class=commentlist><li>c c c</ol><div id=adSlot1>x</div>", "one\ntwo"),
+    ("<main><p>a<div style='display: none'>h</div><p>b<template>t</template><noscript>n</noscript></main><div role=contentinfo>i</div>", "a\nb"),
+    ("<article><p>&#233;t&eacute; &amp;amp; &lt;p&gt;\n\t x</p></article>", "été &amp; <p> x"),
     ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
 ]
 
