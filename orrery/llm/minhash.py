@@ -42,11 +42,11 @@ _PLACES = _RNG.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _Words(dict):
-    """64-bit hashes of words with A-Z lower-cased; of up to 300,000 words they are kept."""
+    """64-bit hashes of words with A-Z lower-cased; up to 100,000 words are kept."""
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass").lower())  # bytes.lower() changes A-Z only
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 

@@ -19,7 +19,7 @@ from .byte_bpe import parse_ranks, read_ranks
 from .common import WORD, map_arrow
 
 #: Words whose counts a worker keeps, and the bytes that such a word has at most.
-CACHE_ENTRIES, CACHE_BYTES = 300_000, 64
+CACHE_ENTRIES, CACHE_BYTES = 100_000, 64
 
 
 def word_vocabulary(ranks: dict[bytes, int]) -> tuple[set[bytes], set[bytes]]:
