@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 from .quality_rules import labelled_sample
+from .scratch import Scratch
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the leading parts of words that are terms, and the levels of repetition.
 STEMS, LEVELS = (3, 4, 5, 6, 7), 3
 #: Documents in a block of the index.
 BLOCK = 64
+#: Words that a worker remembers.
+KNOWN_WORDS = 150_000
 
 
 def word_terms(word: str) -> list[str]:
@@ -43,26 +46,37 @@ def count_terms(text: str) -> dict[str, int]:
 
 
 class Vocabulary:
-    """The selected terms; counts only those in a text."""
+    """The selected terms; counts only those in a text. Words met before are known to have terms or to have none."""
 
     def __init__(self, terms: list[str]):
         self.terms = terms
         self.index = {t: i for i, t in enumerate(terms)}
         self.bases = {t.rpartition("@")[0] for t in terms}
         self.known: dict[str, tuple[str, ...]] = {}
+        self.without: set[str] = set()
 
     def count(self, text: str) -> list[tuple[int, int]]:
         """(term, count) of each selected term in the text, by term."""
-        known, bases = self.known, self.bases
-        if len(known) > 300_000:
-            known.clear()
-        found: dict[str, int] = {}
-        for word, n in Counter(LETTERS.findall(text.lower())).items():
-            terms = known.get(word)
+        words = LETTERS.findall(text.lower())
+        if len(self.known) + len(self.without) > KNOWN_WORDS:
+            self.known.clear()
+            self.without.clear()
+        held: list[tuple[str, tuple[str, ...]]] = []
+        for word in set(words) - self.without:
+            terms = self.known.get(word)
             if terms is None:
-                terms = tuple(t for t in word_terms(word) if t in bases)
+                terms = tuple(t for t in word_terms(word) if t in self.bases)
                 if len(word) < 40:
-                    known[word] = terms
+                    if terms:
+                        self.known[word] = terms
+                    else:
+                        self.without.add(word)
+            if terms:
+                held.append((word, terms))
+        times = Counter(words).__getitem__ if len(held) > 12 else words.count
+        found: dict[str, int] = {}
+        for word, terms in held:
+            n = times(word)
             for term in terms:
                 found[term] = found.get(term, 0) + n
         out = []
@@ -238,7 +252,8 @@ class NearestVotes:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, sample: int = 12_000, most_terms: int = 1_000, k: int = 25) -> NearestVotes:
     """Fit on at most about ``sample`` labelled documents (not the held-out ones), with idf over all of ``docs``."""
-    chosen = labelled_sample(docs, labels, "toxic", sample, held_out)
+    scratch = Scratch(docs.sparkSession)
+    chosen = scratch.save(labelled_sample(docs, labels, "toxic", sample, held_out))  # bounded; read three times
     terms = select_terms(chosen, most_terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +263,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] |
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "terms": pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())), "counts": pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))})
 
     rows = map_arrow(chosen, run, f"doc_id {dict(chosen.dtypes)['doc_id']}, y int, terms array<long>, counts array<long>").toArrow().to_pylist()
+    scratch.drop(chosen)
     rows.sort(key=lambda r: (str(r["doc_id"]), r["terms"], r["counts"]))
     n, df = document_frequencies(docs, terms) if terms else (0, np.zeros(0))
     idf = np.log((1 + n) / (1 + df)) + 0.1
