@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from .collection import Collection
 from .plans.config import check, check_fields, check_quantization
+from .sources.storage import describe
 
 
 class VectorDatabase:
@@ -34,6 +35,10 @@ class VectorDatabase:
     def load(self, path: str) -> Collection:
         return Collection.load(self.spark, path)
 
+    def get_index_info(self, path: str) -> dict[str, Any]:
+        """Configuration, record count and files of a saved collection, from its manifest."""
+        return describe(self.spark, path)
+
     @classmethod
     def available_index_types(cls) -> list[str]:
         return ["hnsw"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions.filters import bound_condition, parse, where
 from .functions.metrics import SPACES, norm, normalise, vector_error
 from .functions.values import json_field
+from .operators.graph import neighbour_lists
 from .operators.ivf import assign, cell_count, fit_cells, probes
 from .operators.quantize import AsymmetricDistance, encode, encode_block, reconstruct, symmetric_distance, train
 from .operators.rerank import calibrate, fetch_count
@@ -360,3 +361,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["flagship"] = flagship
 ORACLES["flagship"] = _topk_sql("cosine", rows="label IN (0, 1, 2)", queries="vec_id < 20").replace("rank, id, score FROM d", "rank, id AS vec_id, score FROM d")
+
+
+@query("neighbour_lists")
+def q_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Diverse neighbour lists of the stated query set."""
+    rows = vectors(spark, d)
+    return neighbour_lists(rows, asked(rows), "cosine", 40, 16)

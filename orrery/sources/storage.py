@@ -119,3 +119,13 @@ def load(spark: SparkSession, path: str) -> tuple[dict[str, Any], dict[str, Data
     if extra := sorted(set(there) - set(files)):
         raise ValueError(f"{path}: {extra[0]} does not belong to the collection")
     return manifest, {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def describe(spark: SparkSession, path: str) -> dict[str, Any]:
+    """The manifest of a saved collection, without reading or verifying its tables."""
+    folder = Folder(spark)
+    path = path.rstrip("/")
+    repair(spark, path)
+    if not folder.exists(f"{path}/{MANIFEST}"):
+        raise FileNotFoundError(f"No saved collection at {path}: {MANIFEST} is missing")
+    return json.loads(folder.read(f"{path}/{MANIFEST}"))

@@ -160,6 +160,7 @@ def test_persistence(db, tmp_path):
     index.remove_point("doc_001")
     index.save(path)
     again = db.load(path)
+    assert db.get_index_info(path)["count"] == 4
     assert again.list(10) == index.list(10) and again.get_all_metadata() == {"owner": "x"} and again.indexed_fields == ["author"]
     assert again.add([[1.0] * 8]).ids == ["vec_1"]
     file = next((tmp_path / "c" / "records").glob("*.parquet"))

@@ -114,3 +114,22 @@ def test_probes():
     assert probes(np.array([[1.0], [19.0]]), centres, 1, 300).tolist() == [[True, False, False], [False, False, True]]
     assert probes(np.array([[1.0]]), centres, 300, 300).all()
     assert fit_cells(np.arange(50.0)[:, None], 4).shape == (4, 1) and cell_count(10_000, 16) == 100
+
+
+def test_neighbour_lists(spark):
+    from orrery.operators.graph import neighbour_lists
+
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((80, 3))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    queries = rows.filter("id < 6").select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+    got = {}
+    for r in neighbour_lists(rows, queries, "l2", 20, 5).orderBy("qid", "place").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    d = block_distances("l2", x, x)
+    for q in range(6):
+        kept = []
+        for i in [i for i in np.argsort(d[q]) if i != q][:20]:
+            if len(kept) < 5 and all(d[i, j] >= d[q, i] for j in kept):
+                kept.append(int(i))
+        assert got[q] == kept
