@@ -13,7 +13,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import WORD_GAP_SQL
@@ -96,10 +95,9 @@ def _with_next(docs: DataFrame) -> DataFrame:
         cuts = ids.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], max(10_000, 20 * count))).first()[0]
         bounds = sorted({int(x) for x in cuts or []})
     bucket = _bucket(bounds)
-    heads = sorted(map(tuple, ids.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id")).collect()), key=lambda h: h[0])
-    above = [(head, heads[(i + 1) % len(heads)][0], False) for i, (_, head) in enumerate(heads)]
-    above = [(head, heads[0][0] if i == len(heads) - 1 else to, True) for i, (head, to, _) in enumerate(above)]
-    guests = docs.sparkSession.createDataFrame(above, T.StructType([T.StructField("head", T.LongType()), T.StructField("to", T.IntegerType()), T.StructField("guest", T.BooleanType())]))
+    in_order = Window.partitionBy(F.lit(0)).orderBy("bucket")  # one row for each bucket
+    heads = ids.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head"))
+    guests = heads.select("head", F.coalesce(F.lead("bucket").over(in_order), F.first("bucket").over(in_order)).alias("to"))
     sent = rows.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("head")), "left")
     places = F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("guest")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("guest")))
     sent = sent.select("doc_id", "text", F.explode(F.filter(places, lambda p: p["bucket"].isNotNull())).alias("place"))

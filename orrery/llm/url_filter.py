@@ -47,7 +47,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, st
     than the longest rule, so a hot host costs one expansion for each of its paths and a very long URL no more than the rules.
     """
     if not isinstance(rules, DataFrame):
-        rules = pages.sparkSession.createDataFrame(list(rules), "host string, path string, verdict string")
+        given = F.array(*(F.struct(*map(F.lit, r)) for r in rules)).cast("array<struct<host:string,path:string,verdict:string>>")
+        rules = pages.sparkSession.range(1).select(F.inline(given))
     known = prepare_rules(rules)
     n, labels, slashes = known.agg(F.count("*"), F.coalesce(F.max("labels"), F.lit(0)), F.coalesce(F.max("slashes"), F.lit(0))).first()
     known = known.drop("labels", "slashes")
