@@ -33,7 +33,7 @@ LONGS = -(-PERMUTATIONS * BITS // 64)
 MARGIN = 0.2
 #: Members that meet in one block of the second round, of 500 shingles each on average at most; a quarter as many ask.
 CHUNK = 1_000
-#: Documents whose ids are sent to every task at most (8 bytes each).
+#: Ids of documents or keys of buckets that are sent to every task at most (8 or 16 bytes each).
 BROADCAST_IDS = 2_000_000
 _RNG = np.random.default_rng(20_240_229)
 _MULTIPLY = _RNG.integers(0, 2**32, PERMUTATIONS, np.uint32) | np.uint32(1)
@@ -238,7 +238,9 @@ def links_across(wide: DataFrame, sketch: DataFrame, sets: DataFrame, percent: i
     block of members in a task of its own, and only links leave it.
     """
     mixed = wide.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.max(F.when(F.col("id") == F.col("leader"), F.col("component"))).alias("group")).filter("lowest <> highest").select("key", "group")
-    rows = wide.join(mixed, "key").select("group", "id", "component").distinct().withColumn("asker", F.col("component") != F.col("group"))
+    mixed = scratch.save(mixed)
+    few = mixed.count() <= BROADCAST_IDS  # then the members of a hot bucket stay where they are
+    rows = wide.join(F.broadcast(mixed) if few else mixed, "key").select("group", "id", "component").distinct().withColumn("asker", F.col("component") != F.col("group"))
     full = sets.select(F.col("doc_id").alias("id"), "members")
     rows = scratch.save(rows.join(sketch, "id").join(full, "id"))
     heavy = lambda n, size, most: F.greatest(F.ceil(n / most), F.ceil(size / (most * 500)), F.lit(1)).cast("int")
