@@ -60,8 +60,7 @@ def block_distances(space: str, queries: np.ndarray, rows: np.ndarray, unit: boo
     if space == "l1":
         return np.stack([np.abs(rows - q).sum(1) for q in queries]) if len(queries) else np.zeros((0, len(rows)))
     if space == "l2":
-        # From differences where the expansion would cancel: near points lose digits in |a|^2 - 2ab + |b|^2.
-        return np.stack([np.sqrt(np.einsum("ij,ij->i", d := rows - q, d)) for q in queries]) if len(queries) else np.zeros((0, len(rows)))
+        return np.sqrt(_squares(queries, rows))
     dots = queries @ rows.T
     if space == "dot":
         return 1 - dots
@@ -69,3 +68,14 @@ def block_distances(space: str, queries: np.ndarray, rows: np.ndarray, unit: boo
         return np.maximum(0.0, 1 - dots)
     scale = np.sqrt((queries**2).sum(1))[:, None] * np.sqrt((rows**2).sum(1))[None, :]
     return np.maximum(0.0, 1 - np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0))
+
+
+def _squares(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Squared L2 distances by one matrix product; near pairs, where its digits cancel, are taken from the differences."""
+    whole = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :]
+    out = whole - 2 * (queries @ rows.T)
+    q, r = np.nonzero(out <= 1e-4 * whole)
+    for i in range(0, len(q), 50_000):
+        at = slice(i, i + 50_000)
+        out[q[at], r[at]] = ((queries[q[at]] - rows[r[at]]) ** 2).sum(1)
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,10 @@ def best(scored: DataFrame, k: int, digits: int | None = None, keep: tuple[str,
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    held: list = []
-    for row in queries.select("qid", "query").toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            yield [r.qid for r in held], np.array([r.query for r in held], float)
-            held = []
-    if held:
+    queries = queries.select("qid", "query")
+    few = queries.take(QUERY_BLOCK + 1)
+    rows = iter(few) if len(few) <= QUERY_BLOCK else queries.toLocalIterator()
+    while held := list(islice(rows, QUERY_BLOCK)):
         yield [r.qid for r in held], np.array([r.query for r in held], float)
 
 
