@@ -2,7 +2,8 @@
 
 Terms are words and leading parts of words, each at up to three levels of repetition ("idiot", "idiot twice", ...). The terms
 that labelled toxic documents have significantly more often span the space; inverse document frequencies come from all
-documents. The labelled vectors lie in an inverted index whose postings are cut into blocks with their largest weight: blocks
+documents, and each is weighted by the term's log odds ratio among the labelled ones, so that a weak term beside a strong one
+does not decide which examples are near. The labelled vectors lie in an inverted index whose postings are cut into blocks with their largest weight: blocks
 are scored in the order of their upper bounds until no block can reach the nearest neighbours found, which makes the search
 exact. The neighbours' labels, weighted by similarity, give a vote, and votes are calibrated to probabilities by isotonic
 regression over the labelled documents' own leave-one-out votes.
@@ -85,8 +86,11 @@ class Vocabulary:
         return sorted(out)
 
 
-def select_terms(sample: DataFrame, most: int, least_toxic: int = 3, least_chi2: float = 30.0) -> list[str]:
-    """The terms of largest chi-square among those that toxic documents of the sample have more often; bounded by ``most``."""
+def select_terms(sample: DataFrame, most: int, least_toxic: int = 3, least_chi2: float = 30.0) -> dict[str, float]:
+    """The terms of largest chi-square among those that toxic documents of the sample have more often, with their log odds ratio.
+
+    At most ``most`` terms; half a document is added to each count of the ratio.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter[str] = Counter()
@@ -110,13 +114,14 @@ def select_terms(sample: DataFrame, most: int, least_toxic: int = 3, least_chi2:
     n = {bool(r.y): r["count"] for r in sample.groupBy("y").count().collect()}
     pos, neg = n.get(True, 0), n.get(False, 0)
     if not pos or not neg:
-        return []
+        return {}
     counts = map_arrow(sample.select("text", "y"), run, "term string, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
     a, b = F.col("a"), F.col("b")
     total = float(pos + neg)
     chi2 = total * (a * (neg - b) - b * (pos - a)) ** 2 / (pos * neg * (a + b) * (total - a - b) + 1e-9)
-    chosen = counts.filter((a >= least_toxic) & (a * neg > b * pos)).select("term", chi2.alias("chi2")).filter(F.col("chi2") >= least_chi2)
-    return [r.term for r in chosen.orderBy(F.desc("chi2"), "term").limit(most).collect()]
+    odds = F.log((a + 0.5) / (pos - a + 0.5) / ((b + 0.5) / (neg - b + 0.5)))
+    chosen = counts.filter((a >= least_toxic) & (a * neg > b * pos)).select("term", chi2.alias("chi2"), odds.alias("odds")).filter(F.col("chi2") >= least_chi2)
+    return {r.term: r.odds for r in chosen.orderBy(F.desc("chi2"), "term").limit(most).collect()}
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
@@ -254,7 +259,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] |
     """Fit on at most about ``sample`` labelled documents (not the held-out ones), with idf over all of ``docs``."""
     scratch = Scratch(docs.sparkSession)
     chosen = scratch.save(labelled_sample(docs, labels, "toxic", sample, held_out))  # bounded; read three times
-    terms = select_terms(chosen, most_terms)
+    odds = select_terms(chosen, most_terms)
+    terms = list(odds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(terms)
@@ -266,8 +272,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] |
     scratch.drop(chosen)
     rows.sort(key=lambda r: (str(r["doc_id"]), r["terms"], r["counts"]))
     n, df = document_frequencies(docs, terms) if terms else (0, np.zeros(0))
-    idf = np.log((1 + n) / (1 + df)) + 0.1
-    return NearestVotes(terms, idf, [r["doc_id"] for r in rows], np.array([r["y"] for r in rows], int), [list(zip(r["terms"], r["counts"], strict=True)) for r in rows], k)
+    weights = (np.log((1 + n) / (1 + df)) + 0.1) * np.array(list(odds.values()))
+    return NearestVotes(terms, weights, [r["doc_id"] for r in rows], np.array([r["y"] for r in rows], int), [list(zip(r["terms"], r["counts"], strict=True)) for r in rows], k)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, least: float = 0.7, sample: int = 12_000, model: NearestVotes | None = None) -> DataFrame:
