@@ -20,8 +20,14 @@ BATCH_ROWS, BATCH_CHARS = 2000, 4_000_000
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; spread: one that Spark reads in fewer parts than there are cores (a file of one row group) is dealt over them.
+
+    Texts are long work for few bytes, so that shuffle pays; a table of any size has more parts than that and is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -10,7 +10,7 @@ from .common import table
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import html_text
 
-    return html_text(table(spark, sf_dir, "pages"))
+    return html_text(table(spark, sf_dir, "pages", spread=True))
 
 
 def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_knn import quality_votes
 
     held_out = (5, 0)
-    judged = quality_votes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+    judged = quality_votes(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"), held_out)
     return judged.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % held_out[0] == held_out[1]).alias("held_out"), "score", "predicted")
 
 
@@ -28,7 +28,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .byte_bpe import bpe_ids
 
-    return bpe_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_ids(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     held_out = (3, 1)
-    judged = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+    judged = toxicity(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"), held_out)
     return judged.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % held_out[0] == held_out[1]).alias("held_out"), "score", "predicted", "evidence")
 
 
@@ -60,7 +60,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents", spread=True), width=4, percent=80)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .wordpiece import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +76,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=2048)
+    return pack(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=2048)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import STATISTICS, quality_rules
 
-    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = quality_rules(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *STATISTICS, "base_failed", "kept")
 
 
