@@ -47,7 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     scratch = Scratch(spark)
     before = None
     for name, stage in STAGES[:-1]:
