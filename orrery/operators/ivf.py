@@ -6,10 +6,13 @@ import math
 
 import numpy as np
 
+from ..functions.metrics import block_distances
 from .quantize import assign, kmeans
 
 #: Vectors that cell centres are fitted on at most.
 SAMPLE = 50_000
+#: The share of true neighbours that calibrated probes find in the sample, and sample vectors that are asked at most.
+RECALL, QUERIES = 0.95, 512
 
 
 def cell_count(n: int, m: int) -> int:
@@ -25,10 +28,42 @@ def fit_cells(sample: np.ndarray, cells: int, seed: int = 42) -> np.ndarray:
 def probes(queries: np.ndarray, centres: np.ndarray, ef: int, n: int) -> np.ndarray:
     """For each query the cells that it reads (bool): the nearest, as many as hold about ``ef`` vectors, at least one."""
     each = min(len(centres), max(1, math.ceil(ef / max(1.0, n / len(centres)))))
-    d = (centres**2).sum(1) - 2 * np.asarray(queries, float) @ centres.T
-    out = np.zeros(d.shape, bool)
-    np.put_along_axis(out, np.argsort(d, axis=1, kind="stable")[:, :each], True, 1)
+    return nearest_cells(queries, centres, each)
+
+
+def nearest_cells(queries: np.ndarray, centres: np.ndarray, each: int) -> np.ndarray:
+    """For each query its ``each`` nearest cells (bool)."""
+    out = np.zeros((len(queries), len(centres)), bool)
+    np.put_along_axis(out, _order(queries, centres)[:, :each], True, 1)
     return out
 
 
-__all__ = ["assign", "cell_count", "fit_cells", "probes"]
+def _order(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    d = (centres**2).sum(1) - 2 * np.asarray(queries, float) @ centres.T
+    return np.argsort(d, axis=1, kind="stable")
+
+
+def calibrate_probes(space: str, sample: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """How many cells a query must read so that RECALL of the k true neighbours of sample vectors, without themselves, is found.
+
+    A sample is thinner than its table and so its neighbours lie farther off: for the whole table the number errs on the side of more.
+    """
+    x = np.asarray(sample, float)
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(centres)
+    cells = assign(x, centres)[0]
+    asked = np.arange(0, len(x), max(1, len(x) // QUERIES))[:QUERIES]
+    places = []
+    for i in range(0, len(asked), 64):
+        part = asked[i : i + 64]
+        far = block_distances(space, x[part], x)
+        far[np.arange(len(part)), part] = np.inf
+        near = np.argpartition(far, k - 1, axis=1)[:, :k]
+        order = np.argsort(_order(x[part], centres), axis=1)
+        places.append(np.take_along_axis(order, cells[near], 1).ravel())
+    places = np.sort(np.concatenate(places))
+    return int(places[math.ceil(RECALL * len(places)) - 1]) + 1
+
+
+__all__ = ["assign", "calibrate_probes", "cell_count", "fit_cells", "nearest_cells", "probes"]

@@ -14,7 +14,7 @@ from .functions.filters import bound_condition, parse, where
 from .functions.metrics import SPACES, norm, normalise, vector_error
 from .functions.values import json_field
 from .operators.graph import neighbour_lists
-from .operators.ivf import assign, cell_count, fit_cells, probes
+from .operators.ivf import assign, calibrate_probes, cell_count, fit_cells, nearest_cells
 from .operators.quantize import AsymmetricDistance, encode, encode_block, reconstruct, symmetric_distance, train
 from .operators.rerank import calibrate, fetch_count
 from .operators.topk import Exact, Probed, scored_topk, topk
@@ -304,11 +304,12 @@ def q_symmetric(spark: SparkSession, d: str) -> DataFrame:
     return encode(vectors(spark, d), book).mapInArrow(run, "id long, to_first double").select("id", F.round("to_first", DIGITS).alias("to_first"))
 
 
-def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray, int]:
+def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Rows with their cell, the centres, and the sample that these are fitted on."""
     rows = vectors(spark, d)
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("id")).limit(50_000).orderBy("id").collect()
-    centres = fit_cells(np.array([r.vector for r in sample]), cell_count(n, 16))
+    sample = np.array([r.vector for r in rows.orderBy(F.xxhash64("id")).limit(50_000).orderBy("id").collect()])
+    centres = fit_cells(sample, cell_count(n, 16))
     shared = spark.sparkContext.broadcast(centres)
 
     def run(batches):
@@ -317,19 +318,20 @@ def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray, int]:
                 x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
                 yield batch.append_column("cell", pa.array(assign(x, shared.value)[0].astype(np.int32)))
 
-    return rows.select("id", "vector").mapInArrow(run, "id long, vector array<float>, cell int"), centres, n
+    return rows.select("id", "vector").mapInArrow(run, "id long, vector array<float>, cell int"), centres, sample
 
 
-def _ivf(spark: SparkSession, d: str, share: float) -> DataFrame:
-    rows, centres, n = _cells(spark, d)
+def _ivf(spark: SparkSession, d: str, every: bool) -> DataFrame:
+    """Cosine top-10 over every cell, or over as many nearest ones as the sample shows to hold RECALL of the true neighbours."""
+    rows, centres, sample = _cells(spark, d)
     queries = asked(vectors(spark, d)).orderBy("qid").collect()
     ids, matrix = [r.qid for r in queries], np.array([r.query for r in queries], float)
-    mask = probes(matrix, centres, max(1, int(share * n)), n)
+    mask = nearest_cells(matrix, centres, len(centres) if every else calibrate_probes("cosine", sample, centres, 10))
     return scored_topk(rows, ids, Probed(Exact("cosine", matrix), mask), 10, "long", DIGITS)
 
 
-query("ivf_topk_all", _topk_sql("cosine"))(lambda spark, d: _ivf(spark, d, 1.0))
-query("ivf_topk_few")(lambda spark, d: _ivf(spark, d, 0.2))
+query("ivf_topk_all", _topk_sql("cosine"))(lambda spark, d: _ivf(spark, d, True))
+query("ivf_topk_few")(lambda spark, d: _ivf(spark, d, False))
 
 
 @query("pq_train")

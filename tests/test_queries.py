@@ -48,3 +48,10 @@ def test_approximate_recall(spark):
     rows = lambda name: {(r.qid, r.id) for r in QUERIES[name](spark, SF).collect()}
     exact = rows("topk_cosine")
     assert len(exact & rows("ivf_topk_few")) > 0.5 * len(exact)
+
+
+def test_cells_find_nine_in_ten(spark):
+    for d in (SF, "/root/testdata/sf0.1"):
+        rows = lambda name: {(r.qid, r.id) for r in QUERIES[name](spark, d).collect()}  # noqa: B023, E731
+        exact = rows("topk_cosine")
+        assert len(exact & rows("ivf_topk_few")) >= 0.9 * len(exact)
