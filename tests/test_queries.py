@@ -55,3 +55,10 @@ def test_cells_find_nine_in_ten(spark):
         rows = lambda name: {(r.qid, r.id) for r in QUERIES[name](spark, d).collect()}  # noqa: B023, E731
         exact = rows("topk_cosine")
         assert len(exact & rows("ivf_topk_few")) >= 0.9 * len(exact)
+
+
+def test_trained_rerank_finds_nine_in_ten(spark):
+    for d in (SF, "/root/testdata/sf0.1"):
+        rows = lambda name: {(r.qid, r.id) for r in QUERIES[name](spark, d).collect()}  # noqa: B023, E731
+        exact = rows("topk_l2")
+        assert len(exact & rows("rerank_topk_trained")) >= 0.9 * len(exact)
