@@ -4,6 +4,9 @@ A text's words are hashed; a run of K words is an anchor if the smallest hash of
 first or last place. Whether a run is chosen depends on nothing but itself, so the same passage has the same anchors wherever it stands,
 and any K - S + 1 runs in a row hold at least one. The fingerprint writes each anchor as one hexadecimal digit (words since the
 anchor before) and eight more (hash of its K words); a text of fewer words has one anchor, the hash of them all.
+
+A text of few words, or of words so long that it is likely to be written without spaces, is taken by its characters (white space as one space)
+in shorter runs, so that half of it keeps anchors: see ``grain``. Two texts are compared by the grain of the first.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from .common import WORD_GAP_SQL
 
 K, S = 9, 2
 INNER = K - S + 1
+#: Texts of fewer words than FEW_WORDS, or of more than LONG_WORD characters a word, are taken by runs of SHORT_K characters; of fewer characters than FEW_CHARS, by runs of LEAST_K.
+FEW_WORDS, LONG_WORD, FEW_CHARS, SHORT_K, LEAST_K = 64, 12, 16, 5, 2
 #: Documents that one ordered bucket holds about, and buckets at most.
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 65_536
 
@@ -28,25 +33,47 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, WORD_GAP_SQL, -1), "")
+
+
 def word_hashes(text: Column) -> Column:
-    return F.transform(F.array_remove(F.split(text, WORD_GAP_SQL, -1), ""), lambda w: F.xxhash64(w))
+    return F.transform(_words(text), lambda w: F.xxhash64(w))
+
+
+def character_hashes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.array_join(_words(text), " "), F.lit("(?s)."), F.lit(0)), lambda c: F.xxhash64(c))
 
 
-def anchors(text: Column) -> Column:
-    """The text's anchors in order, as array of (at: number of the first word from 1, hash: 32 bits in a long)."""
+def grain(text: Column) -> Column:
+    """K if the text is taken by words, SHORT_K or LEAST_K if by characters."""
+    by_characters = F.when(F.length(text) >= FEW_CHARS, SHORT_K).otherwise(LEAST_K)
+    return let(F.size(_words(text)), lambda n: F.when((n >= FEW_WORDS) & (F.length(text) <= LONG_WORD * n), K).otherwise(by_characters))
+
+
+def anchors(text: Column, taken: Column | None = None) -> Column:
+    """The text's anchors in order, as array of (at: number of the first word or character from 1, hash: 32 bits in a long).
+
+    By words, or by the grain that is given.
+    """
 
     def anchor(at: Column, run: Column) -> Column:
         return F.struct(at.cast("int").alias("at"), F.xxhash64(run).bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"))
 
-    def chosen(words: Column) -> Column:
+    def chosen(words: Column, k: int) -> Column:
+        width = k - S + 1
         inner = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.xxhash64(a, b))
-        edge = lambda runs, i: F.array_min(F.slice(runs, i, INNER)).isin(F.element_at(runs, i), F.element_at(runs, i + INNER - 1))
-        places = lambda runs: F.filter(F.sequence(F.lit(1), F.size(runs) - INNER + 1), lambda i: edge(runs, i))
-        many = F.transform(let(inner, places), lambda i: anchor(i, F.slice(words, i, K)))
+        edge = lambda runs, i: F.array_min(F.slice(runs, i, width)).isin(F.element_at(runs, i), F.element_at(runs, i + width - 1))
+        places = lambda runs: F.filter(F.sequence(F.lit(1), F.size(runs) - width + 1), lambda i: edge(runs, i))
+        many = F.transform(let(inner, places), lambda i: anchor(i, F.slice(words, i, k)))
         one = F.array(anchor(F.lit(1), words))
-        return F.when(F.size(words) >= K, many).when(F.size(words) > 0, one).otherwise(F.slice(one, 1, 0))
+        return F.when(F.size(words) >= k, many).when(F.size(words) > 0, one).otherwise(F.slice(one, 1, 0))
 
-    return let(word_hashes(text), chosen)
+    by_words = let(word_hashes(text), lambda w: chosen(w, K))
+    if taken is None:
+        return by_words
+    by_characters = lambda k: let(character_hashes(text), lambda c: chosen(c, k))
+    return F.when(taken == K, by_words).when(taken == SHORT_K, by_characters(SHORT_K)).otherwise(by_characters(LEAST_K))
 
 
 def fingerprint(found: Column) -> Column:
@@ -80,7 +107,7 @@ def _bucket(bounds: list[int]) -> Column:
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, anchors, and text and anchors of the next document by descending doc_id, the first's after the last.
+    """doc_id, text, grain, anchors, and text and anchors (at this grain) of the next document by descending doc_id, the first's after the last.
 
     Documents are dealt into ordered buckets by quantiles of the id; the largest id of each bucket is also sent to the bucket
     above, where it stands last, and the very largest to the lowest. Of documents with the same id the shorter comes first,
@@ -103,15 +130,17 @@ def _with_next(docs: DataFrame) -> DataFrame:
     sent = sent.select("doc_id", "text", F.explode(F.filter(places, lambda p: p["bucket"].isNotNull())).alias("place"))
     dealt = sent.select("doc_id", "text", "place.*").repartition("bucket")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "length", "digest")
-    shown = dealt.select("*", anchors(F.col("text")).alias("found"), F.length("text").alias("length"), F.sha2("text", 256).alias("digest"))
-    following = F.lead(F.struct(F.col("text"), F.col("found"))).over(order)
-    return shown.withColumn("next", following).filter("not guest").select("doc_id", "text", "found", F.col("next.text").alias("next_text"), F.col("next.found").alias("next_found"))
+    shown = dealt.withColumn("taken", grain(F.col("text"))).select("*", anchors(F.col("text"), F.col("taken")).alias("found"), F.length("text").alias("length"), F.sha2("text", 256).alias("digest"))
+    following = F.lead(F.struct("text", "taken", "found")).over(order)
+    next_found = F.when(F.col("next.taken") == F.col("taken"), F.col("next.found")).otherwise(anchors(F.col("next.text"), F.col("taken")))
+    return shown.withColumn("next", following).filter("not guest").select("doc_id", "text", "taken", "found", F.col("next.text").alias("next_text"), next_found.alias("next_found"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document.
+    edited_fingerprint and both likenesses are at the grain of the document. A text of one or two characters has one anchor.
     A null or empty text has no characters and an empty fingerprint; two empty fingerprints are alike (1), an empty and
     another one not (0). Repeated rows repeat; the order of rows with the same or a null id is that of ``_with_next``. Other columns are
     ignored; an empty table gives an empty result, a single document is its own next one.
@@ -119,7 +148,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = _with_next(docs).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.withColumn("edited_found", anchors(F.col("edited")))
+    rows = rows.withColumn("edited_found", anchors(F.col("edited"), F.col("taken")))
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),

@@ -89,3 +89,23 @@ def test_odd_rows(spark, monkeypatch):
     one = fingerprints(df.filter("doc_id = 8")).first()
     assert one.near_next == 1 and one.n_chars == 8
     assert fingerprints(df.filter("doc_id is null")).count() == 2
+
+
+def test_short_and_unspaced_texts_keep_anchors(spark):
+    """Half of a text of any length is unchanged, in words or without spaces, and some of its anchors are."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (*range(1, 80), 200)]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)) for n in (3, 4, 5, 10, 15, 16, 17, 40, 900)]
+    texts += [" ".join("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(40)) for _ in range(70)), "\U0001f600\U0001f601\U0001f602 \U0001f603"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints(df).collect()}
+    assert [i for i in got if not 0.05 < got[i].near_edited < 1] == []
+    assert sum(got[i].near_edited > got[i].near_next for i in got) == len(got)
+
+
+def test_short_documents_keep_anchors(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    short = [r for r in fingerprints(docs).collect() if 0 < len(texts[r.doc_id].split()) <= 26 and r.n_chars > 2]
+    assert short and all(r.near_edited > 0 for r in short)
