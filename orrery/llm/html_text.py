@@ -11,6 +11,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,13 @@ FURNITURE_TAGS = set("nav header footer aside form dialog menu fieldset".split()
 ARTICLE_TAGS = {"article", "main"}
 #: Words in class, id or role that mark furniture or the article.
 FURNITURE_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert popup overlay modal newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead comment comments commentlist disqus respond reply replies toolbar search copyright contentinfo complementary disclaimer teaser adbox adslot adsbygoogle affiliate commercial taboola outbrain aside side sidenav rail dropdown topnav topbar sitemap logo branding form signin register poll survey responses response discussion feedback legal warning announcement paywall toast imprint colophon".split())
+#: Furniture words that also name parts of an article: they do not count inside one.
+AMBIGUOUS_WORDS = set("discussion response responses feedback legal warning".split())
+#: Words beside which a furniture word still names furniture, and those that only say what a page has.
+NEUTRAL_WORDS = set("site page main global primary secondary top bottom left right list items links posts box bar area section block container wrapper wrap inner outer slot unit".split())
+STATE_WORDS = set("has have with without no not is show hide js".split())
+#: Furniture by these tags holds no article of its own; other furniture may be a wrapper around the page's text.
+FIRM_TAGS = FURNITURE_TAGS - {"form", "fieldset"}
 ARTICLE_WORDS = set("article content post entry story main text".split())
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "in_furniture", "heading")
@@ -49,31 +57,55 @@ TRAINING_PAGES = [
     f'<div class="cookie-notice"><p>we use cookies {LONG}</p></div><article><p>keep</p><p>keep {LONG}</p><aside>box {LONG}</aside><form><p>write to us {LONG}</p></form><section class="comments"><article><p>reader {LONG}</p></article></section></article>',
     f'<td><a href="1">nav</a></td><td><h1>keep head</h1><p>keep {LONG} {LONG} {LONG}</p></td><td><a href="2">next page of many</a></td><p>tail</p>',
     f'<article><p>keep one</p><p>keep</p><p>keep <a href="a">all of this is a link inside of the article text</a></p></article><div class="related"><p>read on {LONG}</p><p>again</p></div><form><p>your name</p></form><p>tiny</p><div class="footer">rights {LONG}</div>',
+    f'<body><div class="content-sidebar-wrap"><main class="has-sidebar"><p>keep {LONG}</p><section class="discussion"><p>keep {LONG}</p></section></main><aside>other {LONG}</aside></div></body>',
+    f'<form><nav><a href="a">one</a></nav><article class="post comments-open"><p>keep {LONG}</p><p>keep</p><div class="comments">reader {LONG}</div></article><footer>rights</footer></form>',
 ]
 
 
-def kind_of(tag: str, attributes: str) -> int:
-    """-1 for an element that holds furniture, 1 for one that holds an article, else 0."""
+def names_furniture(tokens: list[str], in_article: bool) -> bool:
+    """Whether a whole class name, id or role (its words) names furniture: cookie-notice and post-footer do, has-sidebar and comments-open do not."""
+    words = FURNITURE_WORDS - AMBIGUOUS_WORDS if in_article else FURNITURE_WORDS
+    if "".join(tokens) in words:
+        return True
+    if not tokens or words.isdisjoint(tokens):
+        return False
+    return all(t in words or t in NEUTRAL_WORDS for t in tokens) or tokens[-1] in words and tokens[0] not in STATE_WORDS
+
+
+def kind_of(tag: str, attributes: str, in_article: bool = False) -> int:
+    """-2 for an element that is not shown, -1 for one that holds furniture, 1 for one that holds an article, else 0.
+
+    An article or main element is an article whatever its names.
+    """
     if tag in ("body", "html"):
         return 0
     kind = -1 if tag in FURNITURE_TAGS else 1 if tag in ARTICLE_TAGS else 0
     if attributes and kind >= 0:
         if UNSEEN.search(attributes):
+            return -2
+        if kind > 0:
+            return kind
+        named = [[w.lower() for w in TOKEN.findall(name)] for value in NAMED.findall(attributes) for name in value.split()]
+        if any(names_furniture(n, in_article) for n in named):
             return -1
-        named = {w.lower() for value in NAMED.findall(attributes) for w in TOKEN.findall(value)}
-        if named & FURNITURE_WORDS:
-            return -1
-        if tag not in HEADING and tag != "p" and named & ARTICLE_WORDS:
+        if tag not in HEADING and tag != "p" and any(not ARTICLE_WORDS.isdisjoint(n) for n in named):
             return 1
     return kind
 
 
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """The page's text blocks: text, words, linked words, in an article, in furniture, in a heading."""
+    """The page's text blocks: text, words, linked words, in an article, in furniture, in a heading.
+
+    On a page whose articles all stand in furniture, or that has none, what looks like furniture but holds an article or main
+    element or most of the words is a wrapper and does not count (nav, header, footer and the like: only if they hold a main).
+    """
     out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, int, tuple[int, int], bool]] = []
+    furniture: list[tuple[int, int, bool, bool]] = []  # first block, the one after the last, may wrap most words, holds an article
+    seen = {"article": 0, "main": 0}
+    free_article = False
     open_tags: dict[str, int] = defaultdict(int)
-    within = {1: 0, 0: 0, -1: 0}
+    within = {1: 0, 0: 0, -1: 0, -2: 0}
     parts: list[str] = []
     linked: list[str] = []
     links = headings = 0
@@ -83,7 +115,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, text.count(" ") + 1, len("".join(linked).split()), within[1] > 0, within[-1] > 0, headings > 0))
+                out.append((text, text.count(" ") + 1, len("".join(linked).split()), within[1] > 0, within[-2] > 0, headings > 0))
             parts.clear()
             linked.clear()
 
@@ -95,9 +127,16 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 linked.append(piece)
 
     def close() -> str:
-        tag, kind = stack.pop()
+        nonlocal free_article
+        tag, kind, first, held, free = stack.pop()
         open_tags[tag] -= 1
         within[kind] -= 1
+        if first < len(out):
+            if kind == -1:
+                main = seen["main"] > held[1]
+                furniture.append((first, len(out), tag not in FIRM_TAGS, main or tag not in FIRM_TAGS and seen["article"] > held[0]))
+            elif kind == 1 and free:
+                free_article = True
         return tag
 
     at, end = 0, len(html)
@@ -159,12 +198,24 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if tag in ("article", "nav", "footer", "header", "aside", "main", "form", "section", "div", "table", "ul", "ol"):
             links = headings = 0
         if tag not in VOID and not (tag == "p" and attributes == ""):
-            kind = kind_of(tag, attributes)
-            stack.append((tag, kind))
+            kind = kind_of(tag, attributes, within[1] > 0)
+            stack.append((tag, kind, len(out), (seen["article"], seen["main"]), not within[-1] and not within[-2]))
+            if kind == 1 and tag in seen:
+                seen[tag] += 1
             open_tags[tag] += 1
             within[kind] += 1
     flush()
-    return out
+    while stack:
+        close()
+    if not furniture:
+        return out
+    words = [0, *accumulate(b[1] for b in out)]
+    depth = [0] * (len(out) + 1)
+    for first, last, wraps, holds in furniture:
+        if free_article or not (holds or wraps and 2 * (words[last] - words[first]) > words[-1]):
+            depth[first] += 1
+            depth[last] -= 1
+    return [(*b[:4], b[4] or d > 0, b[5]) for b, d in zip(out, accumulate(depth), strict=False)]
 
 
 def features(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:

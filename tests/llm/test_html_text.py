@@ -60,3 +60,22 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text(df).collect()), key=str) == sorted([(1, None, "x", 1), (1, None, "x", 1), (None, "u", "", 0)], key=str)
     assert html_text(df.limit(0)).count() == 0
+
+
+PROSE = "the article goes on with quite a few words that say what it is about and then with some more of them"
+WRAPPED = [
+    ("<div class='content-sidebar-wrap'><article><p>a</p></article><aside>s</aside></div>", "a"),
+    ("<div class='sidebar'><main><p>a</p></main></div>", "a"),
+    ("<main class='has-sidebar'><p>a</p><div class='sidebar'>s</div></main>", "a"),
+    ("<article class='post comments-open'><p>a</p><div id='comments'>c</div></article>", "a"),
+    ("<article><p>a</p><section class='discussion'><p>d</p></section></article>", "a\nd"),
+    ("<form><header>h</header><article><p>a</p></article><footer>f</footer></form>", "a"),
+    (f"<form><nav><a href=x>m</a></nav><p>{PROSE}</p><p>{PROSE}</p></form>", f"{PROSE}\n{PROSE}"),
+    (f"<article><p>a</p></article><div class='post-comments'><article>{PROSE}</article></div><div class='site-footer'>{PROSE}</div>", "a"),
+    ("<main style='display:none'><p>x</p></main><article><p>a</p></article>", "a"),
+]
+
+
+@pytest.mark.parametrize("page,want", WRAPPED)
+def test_wrappers_are_not_furniture(page, want):
+    assert extract(page, TREE) == want
