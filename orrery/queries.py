@@ -47,6 +47,11 @@ def asked(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("vector").alias("query"))
 
 
+def hashed(rows: DataFrame, most: int) -> DataFrame:
+    """At most so many rows, drawn by a hash of the id: no prefix, where ids follow labels or time."""
+    return rows.orderBy(F.xxhash64("id"), "id").limit(most)
+
+
 def _distance_sql(space: str) -> str:
     return {
         "cosine": "greatest(0.0, 1 - list_dot_product(q, e) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(e, e))))",
@@ -377,7 +382,7 @@ def q_train(spark: SparkSession, d: str) -> DataFrame:
 def q_calibrate(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d)
     book = train(rows.select(F.col("id").alias("seq"), "vector"), SUBVECTORS, 4)
-    sample = rows.orderBy("id").limit(10_000).collect()
+    sample = hashed(rows, 10_000).collect()
     c = calibrate("cosine", np.array([r.vector for r in sample], np.float32), book)
     return spark.createDataFrame([(c.fetch, c.records, c.queries, c.exponent, fetch_count(10, 10 * c.records, None, c))], "fetch int, records int, queries int, exponent double, fetch_at_ten_times int")
 

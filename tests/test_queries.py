@@ -62,3 +62,12 @@ def test_trained_rerank_finds_nine_in_ten(spark):
         rows = lambda name: {(r.qid, r.id) for r in QUERIES[name](spark, d).collect()}  # noqa: B023, E731
         exact = rows("topk_l2")
         assert len(exact & rows("rerank_topk_trained")) >= 0.9 * len(exact)
+
+
+def test_calibration_sample_is_no_prefix(spark, monkeypatch):
+    from orrery import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "hashed", lambda rows, most, old=queries.hashed: seen.append([r.id for r in old(rows, 100).collect()]) or old(rows, most))
+    queries.q_calibrate(spark, SF)
+    assert len(seen[0]) == 100 and max(seen[0]) > 300
