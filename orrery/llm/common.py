@@ -31,18 +31,35 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by rows, as texts may be long; make sure that a checkpoint folder is set.
+    """Bound Arrow batches by rows and bytes, as texts may be long; make sure that a checkpoint folder is set.
 
-    On a cluster the shared folder comes from spark.checkpoint.dir; a local session without one (tests) gets a temporary folder.
+    The bounds hold for the session, as plans read them only when they run; a session that has set its own keeps them.
+    The folder is the shared one that spark.checkpoint.dir names.
+    Only a session on one machine (a local master, as in tests) may do without that setting and gets a temporary folder; on a
+    cluster a folder of one machine would lose or hide data, so that is an error.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", 32 << 20)):
+        if not spark._jsparkSession.conf().contains(f"spark.sql.execution.arrow.{key}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="orrery-checkpoint-")
+        context.setCheckpointDir(folder)
     return spark
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores behind it as keep it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     prepare(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -2,8 +2,9 @@
 
 1. Every text becomes the set of its word shingles (64-bit hashes), reduced to minima under BANDS x ROWS permutations. Band
    keys come from whole minima; of each minimum only the low two bits are kept, packed into seven longs.
-2. Texts with equal sets are one class, stood for by its smallest id, so exact copies cost nothing further.
-3. Classes that share a band key are candidates. First each meets the smallest id of its bucket; then, once those links have
+2. Texts with equal sets are one class with a number of its own, so exact copies cost nothing further, and texts that share
+   an id stay apart.
+3. Classes that share a band key are candidates. First each meets the smallest number of its bucket; then, once those links have
    formed components, only members of different components of a bucket meet, in blocks of a bounded number that yield links alone.
 4. A candidate pair goes on if its sizes allow the similarity and if the Jaccard estimate from the packed bits, corrected for chance
    collisions, is no more than MARGIN below the threshold (over six standard deviations); it becomes a link by the exact
@@ -22,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import WORD, map_arrow
+from .common import WORD, map_arrow, unused
 from .components import connected_components
 from .scratch import Scratch
 
@@ -141,7 +143,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 columns = {
                     "doc_id": part.column("doc_id"),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    "digest": pa.array([digest_of(s) for s in sets], pa.binary()),
                     "bits": pa.array([next(bits) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     "bands": pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 }
@@ -150,18 +152,29 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(source, run, f"doc_id {dict(source.dtypes)['doc_id']}, n long, digest binary, bits array<long>, bands array<long>")
 
 
+def digest_of(members: np.ndarray) -> bytes | None:
+    """128 bits that stand for a shingle set; null for the empty one."""
+    return xxhash.xxh3_128_digest(members.tobytes()) if len(members) else None
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its full shingle set as array<long>."""
+    """doc_id, n, digest and the full shingle set as array<long>."""
     source = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 250):
                 part = batch.slice(start, 250)
-                sets = [shingle_set(t, width).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "members": pa.array(sets, pa.list_(pa.int64()))})
+                sets = [shingle_set(t or "", width) for t in part.column("text").to_pylist()]
+                columns = {
+                    "doc_id": part.column("doc_id"),
+                    "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "digest": pa.array([digest_of(s) for s in sets], pa.binary()),
+                    "members": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return map_arrow(source, run, f"doc_id {dict(source.dtypes)['doc_id']}, members array<long>")
+    return map_arrow(source, run, f"doc_id {dict(source.dtypes)['doc_id']}, n long, digest binary, members array<long>")
 
 
 def _possible(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
@@ -169,14 +182,21 @@ def _possible(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Col
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (estimate(a, b) >= percent / 100 - MARGIN)
 
 
-def named_sets(docs: DataFrame, ids: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """doc_id and shingle set of the documents that ``ids`` (id) names, made again from their texts rather than kept for all.
+def named_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """node and shingle set of the classes that ``nodes`` (node) names, made again from their texts rather than kept for all.
 
-    Up to BROADCAST_IDS names are sent to every task, so that no text is shuffled; more meet the documents by shuffle.
+    Up to BROADCAST_IDS names are sent to every task, so that no text is shuffled; more meet the documents by shuffle. A text
+    of another set under the same id is told by its digest, and of rows that repeat one set stays.
     """
-    named = scratch.save(ids.select(F.col("id").alias("doc_id")).distinct())
-    few = named.count() <= BROADCAST_IDS
-    sets = scratch.save(shingle_sets(docs.select("doc_id", "text").join(F.broadcast(named) if few else named, "doc_id", "left_semi"), width))
+    named = scratch.save(classes.select("node", "id", "n", "digest").join(nodes.select("node").distinct(), "node", "left_semi"))
+    sent = F.broadcast if named.count() <= BROADCAST_IDS else lambda rows: rows
+    texts = docs.select("doc_id", "text").join(sent(named.select("id").distinct()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    name = named.select("node", "id", F.col("n").alias("size"), F.col("digest").alias("name"))
+    match = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n") == F.col("size")) & (F.col("digest") == F.col("name"))
+    sets = scratch.save(shingle_sets(texts, width).filter("n > 0").join(sent(name), match).select("node", "members"))
+    if not sets.groupBy("node").count().filter("count > 1").isEmpty():
+        sets, before = scratch.save(sets.dropDuplicates(["node"])), sets
+        scratch.drop(before)
     scratch.drop(named)
     return sets
 
@@ -186,8 +206,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
 
     The side b is joined first: each pair then carries one set, and one row of a meets its pairs as a stream.
     """
-    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     held = pairs.join(right, "b").join(left, "a").filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both))
     return scratch.save(held.select("a", "b"))
@@ -199,7 +219,7 @@ def block_links(block: pa.Table, percent: int) -> pa.Table:
     Pairs whose sizes and packed bits allow the similarity are confirmed on the full sets, the likeliest first; pairs of
     components that a confirmed link has joined are passed over.
     """
-    ids, labels, asks = block.column("id").to_pylist(), block.column("component").to_pylist(), np.array(block.column("asks").to_pylist(), bool)
+    ids, labels, asks = block.column("node").to_pylist(), block.column("component").to_pylist(), np.array(block.column("asks").to_pylist(), bool)
     bits = np.array(block.column("bits").to_pylist(), np.int64).view(np.uint64)
     sets = [np.asarray(x, np.int64) for x in block.column("members").combine_chunks().to_numpy(zero_copy_only=False)]
     sizes = np.array([len(x) for x in sets])
@@ -226,83 +246,117 @@ def block_links(block: pa.Table, percent: int) -> pa.Table:
             if 100 * both >= percent * (sizes[x] + sizes[y] - both):
                 parent[a] = b
                 links.append((ids[x], ids[y]))
-    kind = block.schema.field("id").type
-    return pa.table([pa.array([x for x, _ in links], kind), pa.array([y for _, y in links], kind)], ["a", "b"])
+    return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
 def links_across(wide: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links between members of the same bucket that are in different components (wide: key, id, leader, component).
+    """Links between members of the same bucket that are in different components (wide: key, node, leader, component).
 
     In each bucket the members outside its leader's component ask. Buckets of the same leading component form one group; a
     group's askers and members are dealt into blocks of bounded numbers and set sizes, every block of askers meets every
     block of members in a task of its own, and only links leave it.
     """
-    mixed = wide.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.max(F.when(F.col("id") == F.col("leader"), F.col("component"))).alias("group")).filter("lowest <> highest").select("key", "group")
+    mixed = wide.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.max(F.when(F.col("node") == F.col("leader"), F.col("component"))).alias("group")).filter("lowest <> highest").select("key", "group")
     mixed = scratch.save(mixed)
     few = mixed.count() <= BROADCAST_IDS  # then the members of a hot bucket stay where they are
-    rows = wide.join(F.broadcast(mixed) if few else mixed, "key").select("group", "id", "component").distinct().withColumn("asker", F.col("component") != F.col("group"))
-    full = sets.select(F.col("doc_id").alias("id"), "members")
-    rows = scratch.save(rows.join(sketch, "id").join(full, "id"))
+    rows = wide.join(F.broadcast(mixed) if few else mixed, "key").select("group", "node", "component").distinct().withColumn("asker", F.col("component") != F.col("group"))
+    rows = scratch.save(rows.join(sketch, "node").join(sets, "node"))
     heavy = lambda n, size, most: F.greatest(F.ceil(n / most), F.ceil(size / (most * 500)), F.lit(1)).cast("int")
     ask = F.when(F.col("asker"), 1).otherwise(0)
     blocks = rows.groupBy("group").agg(heavy(F.sum(ask), F.sum(ask * F.col("n")), max(1, CHUNK // 4)).alias("of_askers"), heavy(F.count("*"), F.sum("n"), CHUNK).alias("of_members"))
-    dealt = rows.join(blocks, "group").withColumn("place", F.xxhash64("id"))
+    dealt = rows.join(blocks, "group").withColumn("place", F.xxhash64("node"))
     mine = lambda column: F.pmod("place", F.col(column)).cast("int")
     every = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
-    carried = ["group", "id", "component", "bits", "members"]
+    carried = ["group", "node", "component", "bits", "members"]
     asking = dealt.filter("asker").select(*carried, F.lit(True).alias("asks"), mine("of_askers").alias("i"), every("of_members").alias("j"))
     asked = dealt.select(*carried, F.lit(False).alias("asks"), mine("of_members").alias("j"), every("of_askers").alias("i"))
-    kind = dict(rows.dtypes)["id"]
     # Without this exchange Spark would keep the blocks of a group together, as the join by group has left them.
     met = asking.unionByName(asked).repartition("group", "i", "j")
-    links = scratch.save(met.groupBy("group", "i", "j").applyInArrow(lambda block: block_links(block, percent), f"a {kind}, b {kind}"))
+    links = scratch.save(met.groupBy("group", "i", "j").applyInArrow(lambda block: block_links(block, percent), "a long, b long"))
     scratch.drop(rows)
     return links
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept (whether it is that id).
-
-    A document is linked to another if 100 * intersection >= percent * union of their sets of ``width``-word shingles. Null, empty and
-    wordless texts have an empty set and no link: each is its own component. Rows with the same id count as one document: they
-    have one component if their texts are alike, else each its text's. A row with a null id is its own (null) component
-    unless its text equals another's, whose component it then has; kept compares null-safely. Other columns are ignored;
-    an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+def _components(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, n, digest, component_id of every row, and leads: whether its set is the component's smallest by (id, digest)."""
     prints = scratch.save(sketches(docs, width))
-    classes = scratch.save(prints.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits"), F.first("bands").alias("bands")).filter("id is not null"))
-    members = classes.select("id", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("leader")).filter("size > 1")
+    alike = prints.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    classes = scratch.save(alike.withColumn("node", F.monotonically_increasing_id()))  # numbers hold once they are written
+    members = classes.select("node", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
     shared = scratch.save(members.join(buckets, "key"))
 
-    sketch = classes.select("id", "n", "bits")
-    side = lambda name: sketch.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    sketch = classes.select("node", "n", "bits")
+    side = lambda name: sketch.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
     possible = _possible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
-    first = shared.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    sets = named_sets(docs, shared, width, scratch)
+    first = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    sets = named_sets(docs, classes, shared, width, scratch)
     links = confirmed(first.join(side("b"), "b").join(side("a"), "a").filter(possible).select("a", "b"), sets, percent, scratch)
 
-    label = connected_components(links, scratch).withColumnRenamed("node", "id")
-    wide = scratch.save(shared.filter("size > 2").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    label = connected_components(links, scratch)
+    wide = scratch.save(shared.filter("size > 2").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
     links = links.union(links_across(wide, sketch, sets, percent, scratch))
     label = scratch.save(connected_components(links, scratch))
     for done in (wide, shared, sets):
         scratch.drop(done)
-    known = classes.select("n", "digest", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("n", "digest", F.coalesce("component", "id").alias("component_id"))
-    component = F.coalesce("component_id", "doc_id")
-    return prints.select("doc_id", "n", "digest").join(known, ["n", "digest"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    names = classes.select("node", "n", "digest", "id")
+    lowest = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest", "n", "node"))  # a null id comes last
+    heads = names.join(label, "node").groupBy("component").agg(lowest.alias("head"))
+    joined = names.join(label.join(heads, "component").select("node", "head"), "node", "left")
+    linked = F.col("head").isNotNull()
+    known = joined.select("n", "digest", F.when(linked, F.col("head.id")).otherwise(F.col("id")).alias("component_id"), F.when(linked, F.col("head.node") == F.col("node")).otherwise(True).alias("leads"))
+    rows = prints.select("doc_id", "n", "digest").join(known, ["n", "digest"], "left")
+    judged = scratch.save(rows.select("doc_id", "n", "digest", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("leads", F.lit(True)).alias("leads")))
+    scratch.drop_all(but=judged)
+    return judged
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, of the documents that near_duplicates() keeps; of rows with the same id one.
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept (whether it is that id).
+
+    A document is linked to another if 100 * intersection >= percent * union of their sets of ``width``-word shingles. Null, empty and
+    wordless texts have an empty set and no link: each is its own component. A very long text is one set of as many shingles as it
+    has. Rows with the same id are judged each by its own text, so texts that differ may have different components. Of a component
+    the smallest id stands for it; a row with a null id has the component of the texts alike, or null if none of them has an id;
+    kept compares null-safely. Ties: nothing depends on the order of rows. Other columns are ignored; an empty table
+    gives an empty result.
+    """
+    rows = _components(docs, width, percent, Scratch(docs.sparkSession))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def with_sets(docs: DataFrame, width: int, size: str, name: str) -> DataFrame:
+    """docs with two more columns: the size of each text's shingle set, and its digest (empty for an empty set)."""
 
-    Rows with a null id name no document and all stay. Only the ids that go, or that several rows have, meet the
-    documents, so texts are shuffled only where those ids are too many to be sent to every task.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t or "", width) for t in batch.column("text").to_pylist()]
+            added = [pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) or b"" for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, size, name])
+
+    return map_arrow(docs, run, StructType([*docs.schema, StructField(size, LongType()), StructField(name, BinaryType())]))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their components: one row of every component.
+
+    It is a row of the component's smallest id and, where texts of several sets have that id, of the smallest digest; so of
+    unlike texts under one id each stays unless another component member stands for it. Of rows with one id and one set (also the
+    empty one) any one stays. Rows with a null id name no document and all stay, as do documents without words. Very long texts,
+    extra columns and an empty table are as in near_duplicates(). Only the ids that go, or that several rows have, meet the
+    documents, so texts are shuffled only where those ids are too many to be sent to every task; texts are read again only
+    for ids of several rows.
     """
     scratch = Scratch(docs.sparkSession)
-    judged = near_duplicates(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    odd = scratch.save(judged.filter("doc_id is not null and (not kept or rows > 1)").select("doc_id", "kept"))
-    repeated = docs.join(odd.filter("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(odd.select("doc_id"), "doc_id", "left_anti").unionByName(repeated)
+    judged = _components(docs, width, percent, scratch).filter("doc_id is not null")
+    stays = F.col("leads") & (F.col("doc_id") == F.col("component_id"))
+    odd = scratch.save(judged.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(stays).alias("stays")).filter("rows > 1 or not stays"))
+    rest = docs.join(odd.select("doc_id"), "doc_id", "left_anti")
+    size, name = (unused(n, docs.columns) for n in ("set_size", "set_digest"))
+    several = odd.filter("rows > 1").select("doc_id")
+    if several.isEmpty():
+        return rest
+    wanted = judged.filter(stays).join(several, "doc_id", "left_semi").select("doc_id", F.col("n").alias(size), F.coalesce("digest", F.lit(b"")).alias(name)).distinct()
+    key = ["doc_id", size, name]
+    again = with_sets(docs.join(several, "doc_id", "left_semi").select(docs.columns), width, size, name)
+    return rest.select(docs.columns).unionByName(again.join(wanted, key, "left_semi").dropDuplicates(key).select(docs.columns))

@@ -22,6 +22,7 @@ class Scratch:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         self.base = f"{base.rstrip('/')}/orrery-{uuid.uuid4().hex}"
         self.made = 0
+        self.held: set[str] = set()
 
     def save(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -29,8 +30,18 @@ class Scratch:
         df.write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._scratch_path = path
+        self.held.add(path)
         return saved
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def drop_all(self, but: DataFrame) -> None:
+        """Drop every table made so far but one."""
+        for path in self.held - {but._scratch_path}:
+            self._delete(path)
+
+    def _delete(self, name: str) -> None:
+        self.held.discard(name)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

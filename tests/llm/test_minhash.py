@@ -107,3 +107,62 @@ def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(60)] + [(200 + i, 300) for i in range(50)] + [(400, 400)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()))
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys([*range(200, 250), 300], 200)}
+
+
+def brute_keep(rows, width, percent):
+    """For each component of rows with an id: its smallest id, and the shingle sets of that id's rows in it."""
+    sets = [(i, frozenset(shingles(t, width))) for i, t in rows]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in range(len(sets)):
+        for y in range(x):
+            a, b = sets[x][1], sets[y][1]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                parent[find(x)] = find(y)
+    groups = {}
+    for k, (i, s) in enumerate(sets):
+        groups.setdefault(find(k) if s else ("empty", i), []).append((i, s))
+    out = []
+    for members in groups.values():
+        least = min(i for i, _ in members)
+        out.append((least, {s for i, s in members if i == least}))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_of_each_where_texts_share_ids(spark, seed):
+    """Unlike texts under one id are kept apart: every component keeps exactly one row, whatever the order of rows."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(14):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for _ in range(rng.choice([1, 2, 5])):
+            words = list(base)
+            for _ in range(rng.choice([0, 0, 1])):
+                words[rng.randrange(60)] = f"x{rng.randrange(9)}"
+            texts.append(" ".join(words))
+    rows = [(rng.randrange(8), t) for t in texts] + [(1, ""), (1, None), (70, " "), (71, "a b"), (71, "a b"), (71, "c d")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, set_size string, digest string").repartition(3)
+    got = minhash.keep_one_of_each(df, 5, 80)
+    assert got.columns == df.columns
+    got = [(r.doc_id, frozenset(shingles(r.text, 5))) for r in got.collect()]
+    want = brute_keep(rows, 5, 80)
+    assert len(got) == len(want)
+    for i, s in want:
+        assert sum((i, one) in got for one in s) >= 1
+    assert all(any(i == j and s in many for j, many in want) for i, s in got)
+    assert sorted(map(tuple, near_duplicates(df, 5).collect())) == brute([(i, t) for i, t in rows], 5, 80)
+
+
+def test_lost_texts(spark):
+    """(1, A), (1, B), (3, B'): A and B stay under id 1, B' goes."""
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    for rows in ([(1, a), (1, b), (3, b + " end")], [(3, b + " end"), (1, b), (1, a)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, minhash.keep_one_of_each(df).collect())) == [(1, a), (1, b)]
