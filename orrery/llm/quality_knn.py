@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, map_arrow
 from .quality_rules import labelled_sample
+from .scratch import Scratch
 
 #: Character groups; every other character counts as a letter in lower case.
 GROUPS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", "|", "#*$%&", "!?", ".,;:", "\"'()[]{}-_/\\", "<>=+~^`@")
@@ -28,6 +29,8 @@ TRIGRAMS = SHAPES**3
 #: Signs of repetition: repeated next word, repeated line, share of words seen before in four steps.
 SIGNS = ("same_word", "same_line", "seen_half", "seen_most", "seen_nearly_all")
 TERMS = TRIGRAMS + len(SIGNS)
+#: Cosines are compared to so many parts.
+PARTS = 10**9
 WIDE = "utf-32-le" if sys.byteorder == "little" else "utf-32-be"
 _SHAPE_OF = np.zeros(0x250, np.int32)
 for _k, _group in enumerate(GROUPS, 1):
@@ -89,12 +92,12 @@ class LatentVotes:
         self.prior = float(labels.mean()) if len(labels) else 0.5
         x = weigh(counts, self.idf)
         _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :rank]).astype(np.float32)
-        self.labels = labels.astype(np.float32)
+        self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :rank])
+        self.labels = labels.astype(float)
         self.latent = self.project(x)
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        y = x @ self.basis
+        y = x.astype(np.float64) @ self.basis
         return y / np.maximum(np.sqrt((y * y).sum(1, keepdims=True)), 1e-12)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
@@ -102,17 +105,20 @@ class LatentVotes:
         if not len(self.labels):
             return np.full(len(counts), self.prior)
         x = weigh(counts, self.idf)
-        cosines = self.project(x) @ self.latent.T
-        k = min(self.k, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weights = np.maximum(np.take_along_axis(cosines, near, 1), 0) ** self.power
+        n = len(self.labels)
+        k = min(self.k, n)
+        # Cosines count to nine digits, so that the shape of a block does not matter; of equally near vectors the first is nearer.
+        parts = np.rint(np.maximum(self.project(x) @ self.latent.T, 0) * PARTS).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        best = -np.sort(-np.partition(parts, n - k, axis=1)[:, n - k :], axis=1)
+        near, weights = n - 1 - best % n, (best // n / PARTS) ** self.power
         score = ((weights * self.labels[near]).sum(1) + 0.5 * self.prior) / (weights.sum(1) + 0.5)
         return np.where(x.any(1), score.astype(float), self.prior)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, sample: int = 6_000, rank: int = 40, k: int = 15, power: int = 8) -> LatentVotes:
     """Fit on at most about ``sample`` labelled documents (not the held-out ones), with idf over all of ``docs``."""
-    chosen = labelled_sample(docs, labels, "quality", sample, held_out)
+    scratch = Scratch(docs.sparkSession)
+    chosen = labelled_sample(docs, labels, "quality", sample, held_out, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,6 +128,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] |
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.string()), "y": part.column("y"), "counts": pa.array([r.tobytes() for r in counts], pa.binary())})
 
     rows = map_arrow(chosen, run, "doc_id string, y int, counts binary").toArrow()
+    scratch.drop(chosen)
     ids, raw, y = rows.column("doc_id").to_pylist(), rows.column("counts").to_pylist(), rows.column("y").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], raw[i]))
     counts = np.frombuffer(b"".join(raw[i] for i in order), np.float32).reshape(-1, TERMS)
@@ -132,9 +139,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] |
 def quality_votes(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, least: float = 0.3, sample: int = 6_000, model: LatentVotes | None = None) -> DataFrame:
     """doc_id, score, predicted of every document; a score is the vote for label 1.
 
-    A null, empty or very short text (no trigram and no sign) gets the labels' mean, or 0.5 without labels. Rows are judged one
-    by one: repeated rows repeat, null ids stay, other columns are ignored, an empty table gives an empty result. The model is
-    bounded by ``sample`` vectors of ``rank`` numbers and broadcast.
+    A null, empty or very short text (no trigram and no sign) gets the labels' mean, or 0.5 without labels. A very long text is
+    counted whole; its counts are as many as any other's. Of equally near labelled vectors those of the smaller id (as text) vote.
+    Rows are judged one by one: repeated rows repeat, equal texts have equal scores, null ids stay, other columns are ignored, an
+    empty table gives an empty result. The model is bounded by ``sample`` vectors of ``rank`` numbers and broadcast.
     """
     model = model or fit_quality(docs, labels, held_out, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, map_arrow
+from .scratch import Scratch
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -160,11 +161,12 @@ def document_statistics(docs: DataFrame, extra: str | None = None) -> DataFrame:
     return map_arrow(source, run, f"doc_id {kinds['doc_id']}, " + ", ".join(f"{k} long" for k in STATISTICS) + ", features array<double>" + (f", extra {kinds['extra']}" if extra else ""))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, held_out: tuple[int, int] | None = None) -> DataFrame:
-    """doc_id, text and y (0 or 1) of about ``most`` labelled documents, chosen by a hash of the id; all if there are fewer.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, held_out: tuple[int, int] | None, scratch: Scratch) -> DataFrame:
+    """doc_id, text and y (0 or 1) of about ``most`` rows of labelled documents, chosen by hashes; all if there are fewer. Written to scratch.
 
     ``held_out`` = (m, r) leaves out ids whose crc32 as text is r modulo m. Null labels and ids are left out, of several rows for an id the
-    largest label counts. The sample is bounded by ``most``, so it is broadcast.
+    largest label counts. Ids are drawn first and broadcast, as ``most`` bounds them; where ids have so many rows that these exceed
+    it, repeated rows count once, and what is still too many is drawn by a hash of the text.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna()
     if held_out:
@@ -173,12 +175,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, h
     share = most / max(1, known.count())
     if share < 1:
         known = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1_000_003)) < int(share * 1_000_003))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = scratch.save(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id"))
+    if rows.count() > 1.2 * most + 100:
+        rows, before = scratch.save(rows.dropDuplicates(["doc_id", "text"])), rows
+        scratch.drop(before)
+        share = most / max(1, rows.count())
+        if share < 1:
+            rows, before = scratch.save(rows.filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_003)) < int(share * 1_000_003))), rows
+            scratch.drop(before)
+    return rows
 
 
 def fit_trees(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Trees:
     """Trees for label quality from at most about ``sample`` labelled documents that pass the base rules."""
-    rows = document_statistics(labelled_sample(docs, labels, "quality", sample), "y").toArrow()
+    scratch = Scratch(docs.sparkSession)
+    chosen = labelled_sample(docs, labels, "quality", sample, None, scratch)
+    rows = document_statistics(chosen, "y").toArrow().sort_by([("doc_id", "ascending"), *((k, "ascending") for k in STATISTICS)])
+    scratch.drop(chosen)
     statistics = np.stack([rows.column(k).to_numpy() for k in STATISTICS], 1).astype(np.int64) if rows.num_rows else np.zeros((0, 5), np.int64)
     x = np.array(rows.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
     ok = ~base_failed(statistics)

@@ -1,12 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
-Terms are words and leading parts of words, each at up to three levels of repetition ("idiot", "idiot twice", ...). The terms
-that labelled toxic documents have significantly more often span the space; inverse document frequencies come from all
-documents, and each is weighted by the term's log odds ratio among the labelled ones, so that a weak term beside a strong one
-does not decide which examples are near. The labelled vectors lie in an inverted index whose postings are cut into blocks with their largest weight: blocks
-are scored in the order of their upper bounds until no block can reach the nearest neighbours found, which makes the search
-exact. The neighbours' labels, weighted by similarity, give a vote, and votes are calibrated to probabilities by isotonic
-regression over the labelled documents' own leave-one-out votes.
+Terms are words and leading parts of words, each at up to three levels of repetition ("idiot", "idiot twice", ...). The space is
+spanned by the terms that tell labelled documents of either class apart (chi-square, both directions) and by the commonest words,
+whatever their labels, so that a document without telling words has neighbours too. Weights are plain TF-IDF: logarithmic counts times
+the inverse document frequency over all documents, as unit vectors.
+
+The labelled vectors lie in an inverted index cut into blocks of documents. A block holds the postings of its terms side by side
+and the largest weight of each term; documents are scored in the order of the blocks' upper bounds until no block can reach
+the nearest neighbours found, which makes the search exact. Many documents are searched together, so that a block is one matrix
+product for all of those that need it. The neighbours' labels, weighted by similarity, give a vote, and votes are calibrated to
+probabilities by isotonic regression over the labelled documents' own leave-one-out votes.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from .scratch import Scratch
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the leading parts of words that are terms, and the levels of repetition.
 STEMS, LEVELS = (3, 4, 5, 6, 7), 3
-#: Documents in a block of the index.
-BLOCK = 64
+#: Documents in a block of the index, and documents that are searched together.
+BLOCK, TOGETHER = 64, 256
+#: Cosines are compared to so many parts, so that equal ones tie whatever the order of sums.
+PARTS = 10**9
 #: Words that a worker remembers.
 KNOWN_WORDS = 150_000
 
@@ -86,11 +91,9 @@ class Vocabulary:
         return sorted(out)
 
 
-def select_terms(sample: DataFrame, most: int, least_toxic: int = 3, least_chi2: float = 30.0) -> dict[str, float]:
-    """The terms of largest chi-square among those that toxic documents of the sample have more often, with their log odds ratio.
-
-    At most ``most`` terms; half a document is added to each count of the ratio.
-    """
+def select_terms(sample: DataFrame, most: int, common: int, scratch: Scratch, least: int = 3, least_chi2: float = 30.0) -> list[str]:
+    """At most ``most`` terms of largest chi-square among those in at least ``least`` documents, whichever class has them more often, and the
+    ``common`` words in the most documents of the sample; nothing if the sample has one class only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter[str] = Counter()
@@ -114,14 +117,18 @@ def select_terms(sample: DataFrame, most: int, least_toxic: int = 3, least_chi2:
     n = {bool(r.y): r["count"] for r in sample.groupBy("y").count().collect()}
     pos, neg = n.get(True, 0), n.get(False, 0)
     if not pos or not neg:
-        return {}
-    counts = map_arrow(sample.select("text", "y"), run, "term string, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+        return []
     a, b = F.col("a"), F.col("b")
+    counts = map_arrow(sample.select("text", "y"), run, "term string, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    counts = scratch.save(counts.filter(a + b >= least))
     total = float(pos + neg)
     chi2 = total * (a * (neg - b) - b * (pos - a)) ** 2 / (pos * neg * (a + b) * (total - a - b) + 1e-9)
-    odds = F.log((a + 0.5) / (pos - a + 0.5) / ((b + 0.5) / (neg - b + 0.5)))
-    chosen = counts.filter((a >= least_toxic) & (a * neg > b * pos)).select("term", chi2.alias("chi2"), odds.alias("odds")).filter(F.col("chi2") >= least_chi2)
-    return {r.term: r.odds for r in chosen.orderBy(F.desc("chi2"), "term").limit(most).collect()}
+    telling = counts.select("term", chi2.alias("chi2")).filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(most)
+    words = counts.filter(F.col("term").endswith("@1") & ~F.col("term").contains("*")).orderBy((a + b).desc(), "term").limit(common)
+    chosen = [r.term for r in telling.collect()]
+    found = dict.fromkeys([*chosen, *(r.term for r in words.select("term").collect())])
+    scratch.drop(counts)
+    return list(found)
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
@@ -155,56 +162,77 @@ class BlockMaxIndex:
     """Exact nearest neighbours by cosine among sparse unit vectors."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        rows = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(vectors)] or [np.zeros(0, int)]).astype(np.int64)
-        cols = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int64)
-        weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        order = np.lexsort((rows, cols))
-        self.rows, self.weights, cols = rows[order], weights[order], cols[order]
-        # Runs of equal (term, block) in the postings are the blocks; a term's blocks lie side by side.
-        key = cols * max(1, self.blocks) + self.rows // BLOCK
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        self.block_start = np.r_[first, len(key)]
-        self.block_id = self.rows[first] // BLOCK
-        self.block_max = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
-        self.term_start = np.searchsorted(cols[first], np.arange(terms + 1))
+        self.n, self.blocks, self.vectors = len(vectors), -(-len(vectors) // BLOCK), vectors
+        self.block_max = np.zeros((terms, self.blocks))
+        for i, (t, w) in enumerate(vectors):
+            self.block_max[t, i // BLOCK] = np.maximum(self.block_max[t, i // BLOCK], w)
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": {}}
+
+    def postings(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """The block's terms, and for each the weights of the block's documents."""
+        if block not in self.held:
+            inside = self.vectors[block * BLOCK : (block + 1) * BLOCK]
+            terms = np.flatnonzero(self.block_max[:, block])
+            weights = np.zeros((len(terms), BLOCK))
+            for i, (t, w) in enumerate(inside):
+                weights[np.searchsorted(terms, t), i] = w
+            self.held[block] = terms, weights
+        return self.held[block]
 
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """For each block of documents the largest cosine that one of them could have."""
-        out = np.zeros(self.blocks)
-        for t, w in zip(terms, weights, strict=True):
-            s = slice(self.term_start[t], self.term_start[t + 1])
-            out[self.block_id[s]] += w * self.block_max[s]
-        return out
+        return weights @ self.block_max[terms]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the k documents of largest positive cosine (ties: the smaller index) in that order, and the cosines; -1 and 0
+        where there are fewer. Blocks come in the order of their bounds, a few first, then all that can still matter."""
+        m = len(queries)
+        best = np.zeros((m, k), np.int64)  # cosine in parts, then the index from behind: larger is nearer
+        if not self.blocks or not m:
+            return np.full((m, k), -1), np.zeros((m, k))
+        dense = np.zeros((m, len(self.block_max)))
+        for i, (t, w) in enumerate(queries):
+            dense[i, t] = w
+        bounds = dense @ self.block_max
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        behind = self.blocks * BLOCK - 1 - np.arange(self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        first, width = 0, 4
+        while first < self.blocks:
+            part = order[:, first : first + width]
+            limit = np.take_along_axis(bounds, part, 1)
+            wanted = (limit > 0) & (limit >= (best.min(1) // (self.blocks * BLOCK) / PARTS - 2 / PARTS)[:, None])
+            rows = np.flatnonzero(wanted.any(1))
+            if not len(rows):
+                break
+            part, wanted = part[rows], wanted[rows]
+            keys = np.zeros((len(rows), part.shape[1], BLOCK), np.int64)
+            at, place = np.nonzero(wanted)
+            blocks = part[at, place]
+            by = np.argsort(blocks, kind="stable")
+            for group in np.split(by, np.flatnonzero(np.diff(blocks[by])) + 1):
+                block = int(blocks[group[0]])
+                terms, weights = self.postings(block)
+                cosines = np.minimum(1.0, dense[np.ix_(rows[at[group]], terms)] @ weights)
+                parts = np.rint(cosines * PARTS).astype(np.int64)
+                keys[at[group], place[group]] = np.where(parts > 0, parts * (self.blocks * BLOCK) + behind[block], 0)
+            keys = keys.reshape(len(rows), -1)
+            if without is not None:
+                own = self.blocks * BLOCK - 1 - without[rows]
+                keys[(keys > 0) & (keys % (self.blocks * BLOCK) == own[:, None])] = 0
+            both = np.concatenate([best[rows], keys], 1)
+            best[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            first, width = first + width, 8 * width
+        best = -np.sort(-best, axis=1)
+        found = best > 0
+        return np.where(found, self.blocks * BLOCK - 1 - best % (self.blocks * BLOCK), -1), np.where(found, best // (self.blocks * BLOCK) / PARTS, 0.0)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k documents of largest positive cosine (ties: the smaller index) and the cosines, in that order."""
-        bounds = self.bounds(terms, weights)
-        order = np.argsort(-bounds, kind="stable")
-        order = order[: int((bounds > 0).sum())]
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        step = 8
-        for i in range(0, len(order), step):
-            part = order[i : i + step]
-            if len(ids) == k and bounds[part[0]] < scores[-1] - 1e-12:
-                break
-            wanted = np.full(self.blocks, -1)
-            wanted[part] = np.arange(len(part))
-            dots = np.zeros(len(part) * BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.term_start[t], self.term_start[t + 1]
-                for b in np.flatnonzero(wanted[self.block_id[lo:hi]] >= 0) + lo:
-                    s = slice(self.block_start[b], self.block_start[b + 1])
-                    dots[wanted[self.block_id[b]] * BLOCK + self.rows[s] % BLOCK] += w * self.weights[s]
-            at = np.flatnonzero(dots > 1e-12)
-            new = part[at // BLOCK] * BLOCK + at % BLOCK
-            ids, scores = np.r_[ids, new], np.r_[scores, np.minimum(1.0, dots[at])]
-            if without >= 0:
-                stay = ids != without
-                ids, scores = ids[stay], scores[stay]
-            best = np.lexsort((ids, -np.round(scores, 9)))[:k]
-            ids, scores = ids[best], scores[best]
-        return ids, scores
+        """search() for one query: only the neighbours that it has."""
+        ids, cosines = self.search([(terms, weights)], k, np.array([without]) if without >= 0 else None)
+        return ids[0][ids[0] >= 0], cosines[0][ids[0] >= 0]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,32 +263,35 @@ class NearestVotes:
         rest[order] = False
         #: The score of a document without any of the terms.
         self.prior = float((labels[rest].sum() + 0.5) / (rest.sum() + 1)) if len(terms) else float(labels.mean()) if len(labels) else 0.5
-        votes, truth = [], []
-        for at, i in enumerate(order):
-            near, cosines = self.index.nearest(*vectors[i], k, without=at)
-            votes.append(self.vote(near, cosines))
-            truth.append(labels[i])
-        self.points = isotonic(np.array(votes), np.array(truth, float)) if votes else (np.zeros(1), np.full(1, self.prior))
-
-    def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
+        votes = [self.votes(*self.index.search([vectors[i] for i in order[at : at + TOGETHER]], k, np.arange(at, min(at + TOGETHER, len(order))))) for at in range(0, len(order), TOGETHER)]
+        self.points = isotonic(np.concatenate(votes), self.labels) if votes else (np.zeros(1), np.full(1, self.prior))
+
+    def votes(self, near: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        """The neighbours' labels, by squared cosine; 0 without neighbours."""
         weights = cosines**2
-        return float((weights * self.labels[near]).sum() / weights.sum()) if len(near) else 0.0
+        return (weights * self.labels[near]).sum(1) / np.maximum(weights.sum(1), 1e-18)
+
+    def judge(self, texts: list[list[tuple[int, int]]], evidence: int = 3) -> tuple[np.ndarray, list[list[tuple]]]:
+        """For each text's terms the score, and the nearest examples (id, cosine, label) behind it."""
+        scores, behind = np.full(len(texts), self.prior), [[] for _ in texts]
+        known = [i for i, counts in enumerate(texts) if counts]
+        for start in range(0, len(known), TOGETHER):
+            rows = known[start : start + TOGETHER]
+            near, cosines = self.index.search([weigh(texts[i], self.idf) for i in rows], self.k)
+            scores[rows] = np.interp(self.votes(near, cosines), *self.points)
+            for i, ids, c in zip(rows, near[:, :evidence].tolist(), cosines[:, :evidence].tolist(), strict=True):
+                behind[i] = [(self.ids[j], x, int(self.labels[j])) for j, x in zip(ids, c, strict=True) if j >= 0]
+        return scores, behind
 
-    def judge(self, counts: list[tuple[int, int]], evidence: int = 3) -> tuple[float, list[tuple]]:
-        """Score, and the nearest examples (id, cosine, label) behind it."""
-        if not counts:
-            return self.prior, []
-        near, cosines = self.index.nearest(*weigh(counts, self.idf), self.k)
-        score = float(np.interp(self.vote(near, cosines), *self.points))
-        return score, [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(near[:evidence], cosines[:evidence], strict=True)]
 
+def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, sample: int = 12_000, most_terms: int = 1_000, k: int = 25, common: int = 200) -> NearestVotes:
+    """Fit on at most about ``sample`` labelled rows (not the held-out ones), with idf over all of ``docs``.
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, sample: int = 12_000, most_terms: int = 1_000, k: int = 25) -> NearestVotes:
-    """Fit on at most about ``sample`` labelled documents (not the held-out ones), with idf over all of ``docs``."""
+    The space has at most ``most_terms`` telling terms and ``common`` common words.
+    """
     scratch = Scratch(docs.sparkSession)
-    chosen = scratch.save(labelled_sample(docs, labels, "toxic", sample, held_out))  # bounded; read three times
-    odds = select_terms(chosen, most_terms)
-    terms = list(odds)
+    chosen = labelled_sample(docs, labels, "toxic", sample, held_out, scratch)  # bounded; read three times
+    terms = select_terms(chosen, most_terms, common, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(terms)
@@ -272,17 +303,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] |
     scratch.drop(chosen)
     rows.sort(key=lambda r: (str(r["doc_id"]), r["terms"], r["counts"]))
     n, df = document_frequencies(docs, terms) if terms else (0, np.zeros(0))
-    weights = (np.log((1 + n) / (1 + df)) + 0.1) * np.array(list(odds.values()))
-    return NearestVotes(terms, weights, [r["doc_id"] for r in rows], np.array([r["y"] for r in rows], int), [list(zip(r["terms"], r["counts"], strict=True)) for r in rows], k)
+    idf = np.log((1 + n) / (1 + df)) + 1e-3  # a word that every document has still makes neighbours
+    return NearestVotes(terms, idf, [r["doc_id"] for r in rows], np.array([r["y"] for r in rows], int), [list(zip(r["terms"], r["counts"], strict=True)) for r in rows], k)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, least: float = 0.7, sample: int = 12_000, model: NearestVotes | None = None) -> DataFrame:
     """doc_id, score, predicted, evidence (array of the nearest labelled examples' ids, cosines and labels) of every document.
 
     A score is the calibrated probability of label 1. A null or empty text, or one without any selected term, gets the share of
-    toxic documents among labelled ones like it. Without labels of both classes every document gets the labels' mean, or
-    0.5 without any. Rows are judged one by one: repeated rows repeat, null ids stay, other columns are ignored, an empty table gives
-    an empty result. The fitted model is bounded by ``sample`` and broadcast.
+    toxic documents among labelled ones like it, and has no evidence. Without labels of both classes every document gets the
+    labels' mean, or 0.5 without any. A very long text is read whole; its size does not bound what a task holds, as it is counted, not
+    copied. Equally near examples: the one of the smaller place in the index counts. Rows are judged one by one, so repeated rows
+    repeat and equal texts have equal scores; a labelled document that was learned meets itself at cosine 1 (calibration leaves
+    it out, so only held-out scores tell how good the scores are). Null ids stay, other columns are ignored, an empty table
+    gives an empty result. The fitted model is bounded by ``sample`` and broadcast.
     """
     spark = docs.sparkSession
     model = model or fit_toxicity(docs, labels, held_out, sample)
@@ -295,10 +329,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | Non
         model = shared.value
         vocabulary = Vocabulary(model.terms)
         for batch in batches:
-            found = [model.judge(vocabulary.count(t)) for t in batch.column("text").to_pylist()]
-            evidence = [[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in found]
+            scores, found = model.judge([vocabulary.count(t) for t in batch.column("text").to_pylist()])
+            evidence = [[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for e in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= least) for s, _ in found], pa.int32()), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.string() if label_kind == "string" else pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))],
+                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array((scores >= least).astype(np.int32)), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.string() if label_kind == "string" else pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))],
                 names=["doc_id", "score", "predicted", "evidence"],
             )
 
@@ -306,12 +340,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | Non
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, least: float = 0.7, sample: int = 12_000) -> DataFrame:
-    """The rows of docs, with all their columns, that toxicity() does not predict toxic."""
+    """The rows of docs, with all their columns (whatever their names), that toxicity() does not predict toxic.
+
+    Null, empty and very long texts, ties, repeated rows and null ids are as there: each row is judged by its text and stays or goes
+    by itself. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, held_out, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value.terms)
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.judge(vocabulary.count(t or ""))[0] < least for t in batch.column("text").to_pylist()], pa.bool_()))
+            scores, _ = shared.value.judge([vocabulary.count(t or "") for t in batch.column("text").to_pylist()], 0)
+            yield batch.filter(pa.array(scores < least))
 
     return map_arrow(docs, run, docs.schema)

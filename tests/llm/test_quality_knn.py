@@ -49,3 +49,14 @@ def test_odd_rows(spark):
     assert by[None].predicted == by[53].predicted == 0 and by[52].predicted == 1 and by[50].score == by[51].score == 0.5
     assert quality_votes(docs.limit(0), labels).count() == 0
     assert {r.score for r in quality_votes(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_scores_do_not_depend_on_the_block():
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(0.02, (300, TERMS)).astype(np.float32)
+    counts[100:200] = counts[:100]  # ties
+    model = LatentVotes(rng.random(TERMS) + 0.1, counts, rng.integers(0, 2, 300).astype(float), 40, 15, 8)
+    queries = np.concatenate([counts[:90], counts[:90], rng.poisson(0.02, (60, TERMS)).astype(np.float32)])
+    whole = model.score(queries)
+    assert np.abs(whole - np.concatenate([model.score(q[None]) for q in queries])).max() < 1e-9
+    assert np.abs(whole[:90] - whole[90:180]).max() < 1e-9

@@ -80,3 +80,72 @@ def test_odd_rows(spark):
     assert toxicity(docs.limit(0), labels).count() == 0
     assert {r.score for r in toxicity(docs, labels.limit(0)).collect()} == {0.5}
     assert fit_toxicity(docs, labels.filter("toxic = 0")).prior < 0.5
+
+
+def test_scores_against_dense_brute_force(spark):
+    """Final scores, from dense cosines with every labelled vector, sorted by (cosine, place), squared-cosine votes and the calibration."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_toxicity(docs, labels, (3, 1))
+    vocabulary = Vocabulary(model.terms)
+    rows = docs.collect()
+    got = {r.doc_id: r for r in toxicity(docs, labels, (3, 1), model=model).collect()}
+
+    def dense(counts):
+        v = np.zeros(len(model.terms))
+        for i, n in counts:
+            v[i] = (1 + np.log(n)) * model.idf[i]
+        return v / max(np.sqrt((v**2).sum()), 1e-300)
+
+    text = {r.doc_id: r.text for r in rows}
+    index = np.stack([dense(vocabulary.count(text[i])) for i in model.ids])
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    assert [known[i] for i in model.ids] == model.labels.tolist()
+    for r in rows:
+        counts = vocabulary.count(r.text)
+        if not counts:
+            assert got[r.doc_id].score == model.prior and got[r.doc_id].evidence == []
+            continue
+        cosines = np.round(index @ dense(counts), 9)
+        near = [i for i in np.lexsort((np.arange(len(cosines)), -cosines))[: model.k] if cosines[i] > 0]
+        weights = cosines[near] ** 2
+        vote = (weights * model.labels[near]).sum() / weights.sum()
+        assert abs(got[r.doc_id].score - np.interp(vote, *model.points)) < 1e-6
+        assert [e.doc_id for e in got[r.doc_id].evidence] == [model.ids[i] for i in near[:3]]
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+
+
+def test_every_document_with_words_has_evidence(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity(docs, labels, (3, 1)).collect()
+    model = fit_toxicity(docs, labels, (3, 1))
+    vocabulary = Vocabulary(model.terms)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(bool(r.evidence) == bool(vocabulary.count(text[r.doc_id])) for r in got)
+    assert sum(not r.evidence for r in got) < 0.03 * len(got)
+    assert any("@1" in t and "*" not in t for t in model.terms)
+
+
+def test_search_in_batches_is_search_one_by_one():
+    rng = np.random.default_rng(5)
+    vectors = []
+    for _ in range(700):
+        t = np.sort(rng.choice(40, rng.integers(1, 9), replace=False))
+        w = rng.random(len(t))
+        vectors.append((t, w / np.sqrt((w**2).sum())))
+    index = BlockMaxIndex(vectors, 40)
+    queries = [vectors[i] for i in range(0, 700, 9)] + [(np.zeros(0, int), np.zeros(0))]
+    ids, cosines = index.search(queries, 25)
+    for q, i, c in zip(queries, ids, cosines, strict=True):
+        one, near = index.nearest(*q, 25)
+        assert i[i >= 0].tolist() == one.tolist() and c[i >= 0].tolist() == near.tolist()
+    assert (ids[-1] == -1).all()
+
+
+def test_rows_of_one_labelled_id_are_bounded(spark):
+    from orrery.llm.quality_rules import labelled_sample
+    from orrery.llm.scratch import Scratch
+
+    docs = spark.createDataFrame([(1, f"text {i // 2}") for i in range(4000)] + [(2, "b"), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 300, None, Scratch(spark)).collect()
+    assert 200 < len(rows) < 420 and len(set(rows)) == len(rows)
