@@ -1,12 +1,18 @@
 """Main-text extraction from raw HTML: flat text blocks, classified by a small decision tree.
 
 A page becomes a flat sequence of text blocks (text between block-level tags). Each block gets its word count and link
-density, those of its neighbours, and whether it stands in an article or in a part that its tag or its class, id or role names
-as furniture. A decision tree, grown here on the labelled blocks of TRAINING_PAGES, keeps or drops the block.
+density, those of its neighbours and of the prose near it, and hints: whether it stands in an article, in a part that its tag or its
+class, id or role names as furniture (and how much of the page that part holds), in a heading or in a paragraph. A decision
+tree, grown here on labelled blocks, keeps or drops the block.
+
+The labelled table is TRAINING_PAGES and made-up pages of three kinds: with telling tags, with telling names, and of plain div
+elements. On the last kind nothing but counts and densities tells the article; on the others these overrule hints that mislead, as
+lists of links and teasers inside article elements or a whole page inside a form.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,7 +51,12 @@ STATE_WORDS = set("has have with without no not is show hide js".split())
 FIRM_TAGS = FURNITURE_TAGS - {"form", "fieldset"}
 ARTICLE_WORDS = set("article content post entry story main text".split())
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "in_furniture", "heading")
+#: Elements that hold running text of their own.
+TEXT_TAGS = set("p li blockquote pre dd dt figcaption".split())
+#: Blocks before and after one in which prose (blocks mostly without links) counts.
+NEAR = 3
+
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "prose_before", "prose_after", "in_article", "in_furniture", "furniture_share", "heading", "paragraph")
 
 #: Labelled pages: a block whose text starts with "keep" belongs to the main text, any other does not.
 LONG = "with quite a few more words that go on as running prose does, and then some"
@@ -62,6 +73,83 @@ TRAINING_PAGES = [
 ]
 
 
+def labelled_pages(count: int = 600, seed: int = 11) -> list[str]:
+    """Made-up pages with labels as in TRAINING_PAGES, a third of them without any telling tag or name."""
+    rng = random.Random(seed)
+    marks = {
+        "tags": {"menu": "nav", "top": "header", "article": "article", "foot": "footer", "side": "aside"},
+        "names": {"menu": "div class='menu'", "top": "div id='site-header'", "article": "div class='post'", "foot": "div class='footer'", "side": "div class='related'"},
+        "plain": {},
+    }
+
+    def wrap(part: str, inner: str) -> str:
+        tag = marks[kind].get(part, "div")
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    def some(least: int, most: int) -> str:
+        return " ".join(rng.choice(("some", "more", "words", "of", "it")) for _ in range(rng.randint(least, most)))
+
+    def linked(least: int, most: int) -> str:
+        return f"<a href='x'>{some(least, most)}</a>"
+
+    def links(tag: str = "li", least: int = 1, most: int = 3) -> str:
+        return "".join(f"<{tag}>{linked(least, most)}</{tag}>" for _ in range(rng.randint(3, 9)))
+
+    def paragraph() -> str:
+        if rng.random() < 0.15:
+            return f"<h2>keep {some(0, 6)}</h2>"
+        if rng.random() < 0.1:
+            return f"<ul>{''.join(f'<li>keep {some(0, 12)}</li>' for _ in range(rng.randint(2, 5)))}</ul>"
+        length = rng.choice((0, 1, 2, 4, 8, 20, 20, 40, 80, 150))
+        text = f"keep {some(length, length + 3)}"
+        if rng.random() < 0.25:
+            text += f" {linked(1, max(1, rng.choice((length // 2, length, 3 * length))))} {some(1, 3)}"
+        elif rng.random() < 0.05:
+            text = f"keep {linked(2, 9)}"
+        elif rng.random() < 0.05:
+            text = f"<a href='x'>keep {some(1, 25)}</a>"
+        return f"<p>{text}</p>"
+
+    pages = []
+    for i in range(count):
+        kind = ("tags", "names", "plain")[i % 3]
+        parts = [wrap("menu", f"<ul>{links()}</ul>" if rng.random() < 0.7 else " ".join(linked(1, 2) for _ in range(6)))]
+        if rng.random() < 0.4:
+            parts.append(wrap("top", some(1, 8)))
+        if kind != "plain" and rng.random() < 0.6:
+            parts.append(f"<div class='{rng.choice(('ad', 'cookie-notice', 'banner'))}'>{some(4, 40)}</div>")
+        if kind == "plain" and rng.random() < 0.6:
+            parts.append(f"<div>{some(3, 12)}</div>")
+        if rng.random() < 0.3:
+            parts.append("".join(wrap("article", linked(2, 30)) for _ in range(rng.randint(3, 6))))
+        body = [f"<h1>keep {some(0, 12)}</h1>"] if rng.random() < 0.9 else []
+        body += [paragraph() for _ in range(rng.randint(1, 12))]
+        if kind != "plain" and rng.random() < 0.3:
+            tag = rng.choice(("p", "p", "div", "td"))
+            body = body[: rng.randint(0, 2)] + [f"<{tag}>keep {some(0, 3)}</{tag}>" for _ in range(rng.randint(1, 9))]
+        if rng.random() < 0.15:  # text without paragraph elements
+            body = [f"<div>keep {some(25, 90)}</div>" for _ in range(rng.randint(2, 6))]
+        if rng.random() < 0.3:
+            body.insert(rng.randint(1, len(body)), f"<ul>{links(most=rng.choice((4, 4, 15)))}</ul>")
+        if kind == "tags" and rng.random() < 0.3:
+            body.insert(rng.randint(1, len(body)), wrap("side", f"<h3>{some(1, 3)}</h3><p>{some(5, 60)}</p>"))
+        parts.append(wrap("article", "".join(body)))
+        if kind != "plain" and rng.random() < 0.25:  # a page cut short
+            pages.append("".join(parts)[:-4] if rng.random() < 0.5 else "".join(parts))
+            continue
+        if kind != "plain" and rng.random() < 0.5:
+            parts.append("<div class='comments'>" + "".join(f"<p>{some(2, 60)}</p>" for _ in range(rng.randint(1, 5))) + "</div>")
+        if rng.random() < 0.3:
+            parts.append(wrap("side", links(rng.choice(("div", "p", "li")), 2, 25)))
+        if rng.random() < 0.3:
+            parts.append(wrap("side", f"<p>{linked(1, 25)}</p>" if rng.random() < 0.5 else f"<div>{some(2, 40)}</div>") if kind != "plain" else f"<div>{linked(1, 25)}</div>")
+        if rng.random() < 0.8:
+            parts.append(wrap("foot", some(2, 20) if rng.random() < 0.6 else f"{some(1, 3)} {linked(1, 2)} {linked(1, 2)}"))
+        page = "".join(parts)
+        pages.append(f"<form>{page}</form>" if kind == "plain" and rng.random() < 0.3 else page)
+    return pages
+
+
 def names_furniture(tokens: list[str], in_article: bool) -> bool:
     """Whether a whole class name, id or role (its words) names furniture: cookie-notice and post-footer do, has-sidebar and comments-open do not."""
     words = FURNITURE_WORDS - AMBIGUOUS_WORDS if in_article else FURNITURE_WORDS
@@ -93,13 +181,15 @@ def kind_of(tag: str, attributes: str, in_article: bool = False) -> int:
     return kind
 
 
-def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """The page's text blocks: text, words, linked words, in an article, in furniture, in a heading.
+def blocks(html: str) -> list[tuple[str, int, int, bool, bool, float, bool, bool]]:
+    """The page's text blocks: text, words, linked words, in an article, in furniture, the share of the page's words that the innermost
+    furniture holds, in a heading, in a paragraph.
 
     On a page whose articles all stand in furniture, or that has none, what looks like furniture but holds an article or main
-    element or most of the words is a wrapper and does not count (nav, header, footer and the like: only if they hold a main).
+    element is a wrapper and does not count (nav, header, footer and the like: only if they hold a main). Shares count only there, and
+    only for furniture that may wrap text: it is 0 elsewhere.
     """
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
+    out: list[tuple] = []
     stack: list[tuple[str, int, int, tuple[int, int], bool]] = []
     furniture: list[tuple[int, int, bool, bool]] = []  # first block, the one after the last, may wrap most words, holds an article
     seen = {"article": 0, "main": 0}
@@ -108,14 +198,14 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     within = {1: 0, 0: 0, -1: 0, -2: 0}
     parts: list[str] = []
     linked: list[str] = []
-    links = headings = 0
+    links = headings = bare = 0
     raw_end: dict[str, bool] = {}
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, text.count(" ") + 1, len("".join(linked).split()), within[1] > 0, within[-2] > 0, headings > 0))
+                out.append((text, text.count(" ") + 1, len("".join(linked).split()), within[1] > 0, within[-2] > 0, 0.0, headings > 0, bool(stack) and stack[-1][0] in TEXT_TAGS or bare > 0))
             parts.clear()
             linked.clear()
 
@@ -186,6 +276,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if tag not in BLOCK:
             continue
         flush()
+        bare = 0
         if tag in HEADING:
             headings = 0 if ending else 1
         if ending:
@@ -197,7 +288,9 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             close()
         if tag in ("article", "nav", "footer", "header", "aside", "main", "form", "section", "div", "table", "ul", "ol"):
             links = headings = 0
-        if tag not in VOID and not (tag == "p" and attributes == ""):
+        if tag == "p" and attributes == "":
+            bare = 1  # a paragraph that needs no place on the stack
+        elif tag not in VOID:
             kind = kind_of(tag, attributes, within[1] > 0)
             stack.append((tag, kind, len(out), (seen["article"], seen["main"]), not within[-1] and not within[-2]))
             if kind == 1 and tag in seen:
@@ -210,49 +303,62 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     if not furniture:
         return out
     words = [0, *accumulate(b[1] for b in out)]
-    depth = [0] * (len(out) + 1)
-    for first, last, wraps, holds in furniture:
-        if free_article or not (holds or wraps and 2 * (words[last] - words[first]) > words[-1]):
-            depth[first] += 1
-            depth[last] -= 1
-    return [(*b[:4], b[4] or d > 0, b[5]) for b, d in zip(out, accumulate(depth), strict=False)]
+    counted = [(first, last, 0.0 if free_article or not wraps else (words[last] - words[first]) / words[-1]) for first, last, wraps, holds in furniture if free_article or not holds]
+    counted.sort(key=lambda f: (f[0], -f[1]))
+    inside: list[tuple[int, float]] = []  # end and share of the furniture around a block; what lies inside firm furniture has no share
+    at = 0
+    for i, b in enumerate(out):
+        while inside and inside[-1][0] <= i:
+            inside.pop()
+        while at < len(counted) and counted[at][0] <= i:
+            inside.append((counted[at][1], min(counted[at][2], inside[-1][1]) if inside else counted[at][2]))
+            at += 1
+        if inside:
+            out[i] = (*b[:4], True, inside[-1][1], *b[6:])
+    return out
 
 
-def features(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
+def features(found: list[tuple]) -> np.ndarray:
     n = len(found)
     out = np.zeros((n, len(FEATURES)))
     if n:
-        _, words, linked, article, furniture, heading = zip(*found, strict=True)
+        _, words, linked, article, furniture, share, heading, paragraph = zip(*found, strict=True)
         w = np.array(words, float)
         d = np.array(linked, float) / w
         out[:, 0], out[:, 1] = w, d
         out[1:, 2], out[1:, 3], out[:-1, 4], out[:-1, 5] = w[:-1], d[:-1], w[1:], d[1:]
-        out[:, 6], out[:, 7], out[:, 8] = article, furniture, heading
+        prose = np.r_[np.zeros(NEAR + 1), np.cumsum(np.where(d < 0.5, w, 0)), np.zeros(NEAR)]
+        prose[n + NEAR + 1 :] = prose[n + NEAR]
+        out[:, 6] = prose[NEAR : n + NEAR] - prose[:n]
+        out[:, 7] = prose[2 * NEAR + 1 :] - prose[NEAR + 1 : n + NEAR + 1]
+        out[:, 8], out[:, 9], out[:, 10], out[:, 11], out[:, 12] = article, furniture, share, heading, paragraph
     return out
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
-    """A classification tree by Gini impurity: (feature, threshold, left, right), or the share of kept blocks at a leaf."""
+def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 1) -> tuple:
+    """A classification tree by Gini impurity: (feature, threshold, left, right), or the share of kept blocks at a leaf (of ``least`` at least)."""
     if depth == 0 or y.min() == y.max():
         return (float(y.mean()),)
     best = (1e-9, 0, 0.0)
     whole = len(y) * y.mean() * (1 - y.mean())
-    for j in (6, 7, *(k for k in range(x.shape[1]) if k not in (6, 7))):
+    for j in (8, 9, *(k for k in range(x.shape[1]) if k not in (8, 9))):  # where splits are equally good, hints give the simpler rule
         values = np.unique(x[:, j])
         for cut in (values[:-1] + values[1:]) / 2:
             left = y[x[:, j] <= cut]
             right = y[x[:, j] > cut]
+            if min(len(left), len(right)) < least:
+                continue
             gain = whole - len(left) * left.mean() * (1 - left.mean()) - len(right) * right.mean() * (1 - right.mean())
             if gain > best[0] + 1e-9:
                 best = (gain, j, float(cut))
     if best[0] <= 1e-9:
         return (float(y.mean()),)
     go = x[:, best[1]] <= best[2]
-    return best[1], best[2], grow_tree(x[go], y[go], depth - 1), grow_tree(x[~go], y[~go], depth - 1)
+    return best[1], best[2], grow_tree(x[go], y[go], depth - 1, least), grow_tree(x[~go], y[~go], depth - 1, least)
 
 
 def fit_tree(pages: list[str] | None = None) -> tuple:
-    found = [blocks(p) for p in pages or TRAINING_PAGES]
+    found = [blocks(p) for p in pages or [*TRAINING_PAGES * 3, *labelled_pages()]]
     x = np.concatenate([features(f) for f in found])
     return grow_tree(x, np.array([b[0].startswith("keep") for f in found for b in f], float))
 
@@ -276,8 +382,9 @@ def html_text(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page's main text.
 
     White space inside a block is one space, blocks are joined in page order by one line feed. A null or empty page, or one
-    without main text, has the empty text. A page cut short yields what it holds. Rows are judged one by one: repeated rows
-    repeat, null ids and urls stay, other columns are ignored, an empty table gives an empty result.
+    without main text, has the empty text. A page cut short yields what it holds. A very long page is read whole, in time that grows
+    with its length. Ties: there are none, as each block is kept or dropped by its own features. Rows are judged one by one:
+    repeated rows repeat, null ids and urls stay, other columns are ignored, an empty table gives an empty result.
     """
     tree = tree or fit_tree()
     source = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from orrery.llm.html_text import TRAINING_PAGES, blocks, decide, extract, features, fit_tree, html_text
+from orrery.llm.html_text import FEATURES, TRAINING_PAGES, blocks, decide, extract, features, fit_tree, html_text, labelled_pages
 
 TREE = fit_tree()
 CASES = [
@@ -79,3 +79,54 @@ WRAPPED = [
 @pytest.mark.parametrize("page,want", WRAPPED)
 def test_wrappers_are_not_furniture(page, want):
     assert extract(page, TREE) == want
+
+
+def judged(pages, tree, blind=()):
+    """For all blocks of the pages: decisions, labels, and what the tags alone say. ``blind``: features set to 0."""
+    out = []
+    for page in pages:
+        found = blocks(page)
+        x = features(found)
+        x[:, list(blind)] = 0
+        out += zip(decide(tree, x).tolist(), (b[0].startswith("keep") for b in found), (b[3] and not b[4] for b in found), strict=True)
+    return out
+
+
+def test_counts_and_densities_decide():
+    """On labelled pages that the tree has not seen, counts and densities tell what tags do not; without them it fails."""
+    pages = labelled_pages(300, 1234)
+    for kind in range(3):
+        rows = judged(pages[kind::3], TREE)
+        assert sum(got == want for got, want, _ in rows) > 0.97 * len(rows)
+        assert sum(hint == want for _, want, hint in rows) < 0.9 * len(rows)
+    counts = [i for i, f in enumerate(FEATURES) if not f.startswith(("in_", "heading", "paragraph"))]
+    rows = judged(pages, TREE, counts)
+    assert sum(got == want for got, want, _ in rows) < 0.9 * len(rows)
+
+
+def test_pages_without_telling_tags(spark):
+    """The template's pages with article renamed, and with all of its tags and names gone, keep their article and nothing else."""
+    kept = wanted = foreign = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = [b[3] and not b[4] for b in blocks(r.html)]
+        renamed = r.html.replace("<article", "<div").replace("</article", "</div")
+        for page in (renamed, re.sub("<(/?)(?:nav|footer)", r"<\1div", renamed).replace(' class="ad"', "")):
+            found = blocks(page)
+            got = decide(TREE, features(found)).tolist()
+            kept += sum(g and w for g, w in zip(got, want, strict=True))
+            foreign += sum(g and not w for g, w in zip(got, want, strict=True))
+            wanted += sum(want)
+    assert kept > 0.98 * wanted and foreign < 0.01 * wanted
+
+
+def test_hints_are_overruled():
+    links = "".join(f"<li><a href=x>link {i}</a></li>" for i in range(6))
+    assert extract(f"<article><h1>t</h1><p>{PROSE}</p><ul>{links}</ul><p>{PROSE}</p></article>", TREE) == f"t\n{PROSE}\n{PROSE}"
+    teasers = "".join(f"<article><a href=x>some teaser {i}</a></article>" for i in range(4))
+    assert extract(f"<div>{teasers}</div><div><h1>t</h1><p>{PROSE}</p><p>{PROSE}</p></div>", TREE) == f"t\n{PROSE}\n{PROSE}"
+
+
+def test_very_long_page(spark):
+    page = "<nav><a href=x>m</a></nav><article>" + f"<p>{PROSE}</p>" * 30_000 + "</article>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html_text(df).first().n_chars == 30_000 * (len(PROSE) + 1) - 1
