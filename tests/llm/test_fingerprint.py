@@ -109,3 +109,81 @@ def test_short_documents_keep_anchors(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     short = [r for r in fingerprints(docs).collect() if 0 < len(texts[r.doc_id].split()) <= 26 and r.n_chars > 2]
     assert short and all(r.near_edited > 0 for r in short)
+
+
+def plain_likeness(a, b):
+    """Of (at, hash) lists: of all pairs of equal anchors that stand next to each other by place, the commonest shift."""
+    if not a and not b:
+        return 1.0, {}
+    places = {}
+    for side, found in enumerate((a, b)):
+        for at, h in found:
+            places.setdefault(h, []).append((at, side))
+    votes = {}
+    for rows in places.values():
+        rows.sort()
+        for (p, x), (q, y) in zip(rows, rows[1:], strict=False):
+            if x != y:
+                d = q - p if x == 0 else p - q
+                votes[d] = votes.get(d, 0) + 1
+    n = max(votes.values(), default=0)
+    return n / (len(a) + len(b) - n), votes
+
+
+def test_positional_matching_against_plain_python(spark):
+    rng = random.Random(12)
+    make = lambda n, kinds: " ".join(f"w{rng.randrange(kinds)}" for _ in range(n))
+    rows = []
+    for n in (0, 1, 5, 12, 40, 150, 400):
+        base = make(n, 500)
+        rows += [(base, base), (base, make(9, 500) + " " + base), (base + " " + make(n, 500), base), (base, make(n, 500)), (make(n, 2), make(n, 2)), (base + " " + base, base)]
+    df = spark.createDataFrame(rows, "x string, y string").select(anchors(F.col("x")).alias("a"), anchors(F.col("y")).alias("b"))
+    for r in df.select("a", "b", likeness(F.col("a"), F.col("b")).alias("l"), shift_votes(F.col("a"), F.col("b")).alias("s")).collect():
+        want, votes = plain_likeness([tuple(x) for x in r.a], [tuple(x) for x in r.b])
+        assert abs(r.l - want) < 1e-12 and (r.s or {}) == votes
+        if r.a == r.b:
+            assert r.l == 1
+
+
+def test_passages_in_another_order_are_less_alike(spark):
+    rng = random.Random(5)
+    parts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(100)) for _ in range(6)]
+    df = spark.createDataFrame([(" ".join(parts), " ".join(parts[::-1])), (" ".join(parts), "new " + " ".join(parts))], "x string, y string")
+    other, same = (r.l for r in df.select(likeness(anchors(F.col("x")), anchors(F.col("y"))).alias("l")).collect())
+    assert other < 0.2 and same > 0.9
+
+
+def test_near_columns_on_documents(spark):
+    """near_edited and near_next of the registered query against anchors compared in plain Python."""
+    from orrery.llm.fingerprint import grain
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = order([(r.doc_id, r.text) for r in docs.collect()])
+    pairs = []
+    for i, (doc_id, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        half = len(text) // 2
+        pairs.append((doc_id, text, text[: len(text) - half] + after[:half], after))
+    taken = spark.createDataFrame(pairs, "doc_id long, text string, edited string, next string").withColumn("g", grain(F.col("text")))
+    found = {r.doc_id: r for r in taken.select("doc_id", *(anchors(F.col(c), F.col("g")).alias(c) for c in ("text", "edited", "next"))).collect()}
+    for r in fingerprints(docs).collect():
+        a, edited, after = ([tuple(x) for x in found[r.doc_id][c]] for c in ("text", "edited", "next"))
+        assert abs(r.near_edited - plain_likeness(a, edited)[0]) < 1e-12
+        assert abs(r.near_next - plain_likeness(a, after)[0]) < 1e-12
+
+
+def test_hot_ids(spark, monkeypatch):
+    """One id, and null, hold most rows, with texts of many lengths and many copies; the order and the copies' next ones are as in plain Python."""
+    rng = random.Random(21)
+    text = lambda: " ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([1, 3, 3, 10, 30])))
+    rows = [(i, text()) for i in range(60)] + [(-9, "low"), (2**62, "high")]
+    rows += [(7, text()) for _ in range(150)] + [(7, "same text here")] * 120 + [(None, text()) for _ in range(90)] + [(None, None)] * 60 + [(30, "b")] * 50
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, copies int")
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 5)
+    for parts in (1_024, 4):
+        monkeypatch.setattr(fp, "PARTS", parts)
+        got = fingerprints(df.repartition(4)).collect()
+        check(got, rows)
+    least = [r for r in got if r.doc_id == 30 and r.n_chars == 1]
+    assert len(least) == 50 and sum(r.near_next == 1 for r in least) >= 49
