@@ -84,14 +84,22 @@ def pack(docs: DataFrame, rank_path: str, capacity: int = 2048, cluster: str | N
     Lengths are word-piece counts of whole texts. A document longer than a bin is cut into full bins and a rest, and every
     token has one place. A null, empty or wordless text has one piece of no tokens. Documents with a null source conflict with no
     source. Rows that repeat are packed each for itself, apart from each other as copies; null ids stay; other columns are
-    ignored; an empty table gives an empty result. Rows are dealt into shards by a hash of their place in a written
-    table, so a source, copies or ids that many rows share spread over all shards.
+    ignored; an empty table gives an empty result. A very long text is counted whole and has as many pieces as it needs. Ties:
+    pieces of one length go by id, source, cluster; of bins with the same room the oldest is taken. Rows are dealt into shards
+    by a hash of what is packed (id, source, cluster, length) and of the number among rows alike in it, so bins depend neither on files
+    nor on cores, and a source, copies or ids that many rows share spread over all shards.
     """
     scratch = Scratch(docs.sparkSession)
     table = scratch.save(lengths(docs, rank_path, cluster))
     shards = max(1, -(-table.count() // SHARD_ROWS))
     kind = dict(table.dtypes)["doc_id"]
-    dealt = table.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    packed = ["doc_id", "source", "cluster", "n_tokens"]
+    alike = table.groupBy(packed).agg(F.count("*").alias("copies"))
+    # Rows of very many copies are written out by many tasks.
+    step = F.lit(SHARD_ROWS).cast("long")
+    runs = alike.withColumn("start", F.explode(F.sequence(F.lit(1).cast("long"), "copies", step))).repartition("doc_id", "cluster", "start")
+    each = runs.select(*packed, F.explode(F.sequence("start", F.least(F.col("start") + step - 1, "copies"))).alias("number"))
+    dealt = each.select(*packed, F.pmod(F.xxhash64(*packed, "number"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(shard: pa.Table) -> pa.Table:
         rows = sorted(zip(*(shard.column(c).to_pylist() for c in ("doc_id", "source", "cluster", "n_tokens")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or "", r[3]))

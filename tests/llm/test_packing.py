@@ -76,3 +76,20 @@ def test_odd_rows(spark):
     assert pack(df.limit(0), PATH).count() == 0
     grouped = pack(df.withColumnRenamed("bin_id", "kin"), PATH, 1000, cluster="kin").collect()
     assert len({r.bin_id for r in grouped if r.doc_id != 6 and r.piece_tokens < 1000}) == len([r for r in grouped if r.doc_id != 6 and r.piece_tokens < 1000])
+
+
+def test_bins_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 40)
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)
+    rows = df.collect()
+    df = spark.createDataFrame(rows + rows[:30] + [rows[5]] * 100, df.schema)
+    a, b = (sorted(map(tuple, pack(d, PATH, 2048).collect())) for d in (df, df.orderBy("text").repartition(7)))
+    assert a == b
+    assert len({r[4] for r in a if r[0] == rows[5].doc_id}) >= 101
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 400_000, "a"), (2, "x", "a")], "doc_id long, text string, source string")
+    got = pack(df, PATH, 2048).collect()
+    assert sum(r.piece_tokens for r in got if r.doc_id == 1) == 400_000
+    assert len({r.bin_id for r in got}) == len(got)
