@@ -129,7 +129,8 @@ def bpe_ids(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool = Fals
     """Encode and decode every text.
 
     Returns doc_id, n_tokens long, ids_sha256, decoded_sha256, and with ``keep_ids`` also ids (array<int>). A null text counts
-    as empty: no tokens, digests of nothing. Rows are judged one by one, so repeated rows and ids give repeated results; an
+    as empty: no tokens, digests of nothing. A very long text is encoded whole; its ids are held four bytes a token. Ties: merges
+    go by rank, of equal ones the leftmost first, as ranks define. Rows are judged one by one, so repeated rows and ids give repeated results; an
     empty table gives an empty result; other columns are ignored. The vocabulary file is read by the driver and broadcast
     (its size is that of the vocabulary).
     """

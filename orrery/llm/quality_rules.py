@@ -202,8 +202,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, leas
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for every document.
 
     kept is false where the base rules fail (fewer than 20 words, or over 30 % of words in repeated windows), else whether the
-    trees' score reaches ``least``. A null text counts as empty and so fails. Rows are judged one by one: repeated rows repeat,
-    null ids stay, other columns are ignored, an empty table gives an empty result. Without labels of both classes every
+    trees' score reaches ``least``. A null text counts as empty and so fails. A very long text is measured whole, in time that grows with
+    its length by no more than sorting takes. A score of exactly ``least`` keeps; trees are grown on rows sorted by id, and of
+    equally good splits the first feature and lowest threshold are taken. Rows are judged one by one: repeated rows repeat, null ids stay, other columns are ignored, an empty table gives an empty result. Without labels of both classes every
     document gets the same score: the labels' mean, or 0.5.
     """
     trees = trees or fit_trees(docs, labels, sample)
@@ -226,7 +227,11 @@ def judge(texts: list[str], trees: Trees) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that quality_rules() keeps."""
+    """The rows of docs, with all their columns (whatever their names), that quality_rules() keeps.
+
+    Null, empty and very long texts, ties, repeated rows and null ids are as there: each row is judged by its text and stays or goes
+    by itself. An empty table stays empty.
+    """
     trees = fit_trees(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

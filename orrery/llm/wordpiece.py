@@ -109,9 +109,10 @@ def word_counts(rank_file: bytes) -> WordCounts:
 def token_counts(docs: DataFrame, rank_path: str) -> DataFrame:
     """doc_id, n_words, n_tokens, longest (pieces of the word that has most) of every whole text.
 
-    Words are runs of characters other than ASCII white space. A null, empty or wordless text has no words and tokens. Rows
-    are judged one by one: repeated rows repeat, null ids stay, other columns are ignored, an empty table gives an empty
-    result. The vocabulary file is read by the driver and broadcast (its size is that of the vocabulary).
+    Words are runs of characters other than ASCII white space. A null, empty or wordless text has no words and tokens. A very long
+    text or word is read whole, in time that grows with its length. Ties: of the pieces that fit at a place the longest is taken, so there
+    are none; ``longest`` is a count. Rows are judged one by one: repeated rows repeat, null ids stay, other columns are
+    ignored, an empty table gives an empty result. The vocabulary file is read by the driver and broadcast (its size is that of the vocabulary).
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
