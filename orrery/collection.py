@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import logging
 import math
+import os
+import threading
 import time
-from collections.abc import Mapping
-from dataclasses import asdict
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.filters import StoredField, always, condition, names, parse
 from .functions.metrics import distance, vector_error
 from .functions.values import stored
-from .operators.ivf import SAMPLE, cell_count, fit_cells, probes
+from .operators.ivf import SAMPLE, cell_count, fit_cells_in_task, probes
 from .operators.quantize import AsymmetricDistance, ReconstructedDistance, assign, code_rows, encode_block, reconstruct_block, train
 from .operators.rerank import Calibration, calibrate, fetch_count
 from .operators.topk import QUERY_BLOCK, Exact, Probed, best, scored_topk
@@ -34,24 +38,61 @@ INPUT = "ordinal long, id string, vector array<float>, json string"
 EXACT_MATCHES = 5_000
 #: Names that a plan lists as literals at most; more are joined.
 LISTED = 500
+#: Dead rows that are sent to every task of a read (16 bytes each); beyond them the segments that hold most are rewritten. Tables of dead rows at most.
+MOST_DEAD, DEAD_TABLES = 4_000_000, 64
+#: Vectors that a codebook is fitted on at most, whatever training_size says.
+MOST_TRAINING = 1_000_000
+#: Bytes that a saved file has about, as its digest is taken in memory; rows of a saved codebook or table of cells at most.
+FILE_BYTES, MOST_NUMBERS = 256 << 20, 200_000
+
+
+@dataclass(frozen=True)
+class Segment:
+    """A written table of records, and the row numbers that it may hold: from first up to, without, end."""
+
+    path: str
+    first: int
+    end: int
+
+
+@dataclass(frozen=True)
+class State:
+    """Everything that a read depends on. A change swaps the whole, so a reader sees all of it or nothing."""
+
+    segments: tuple[Segment, ...] = ()
+    dead: tuple[str, ...] = ()
+    stranded: int = 0
+    count: int = 0
+    codebook: np.ndarray | None = None
+    active: bool = False
+    calibration: Calibration | None = None
+    cells: np.ndarray | None = None
+
+
+def exclusive(method: Callable) -> Callable:
+    """One change at a time; reads go on meanwhile, on the state that they started with."""
+
+    @functools.wraps(method)
+    def run(self: Collection, *args: Any, **more: Any) -> Any:
+        with self._lock:
+            return method(self, *args, **more)
+
+    return run
 
 
 class Collection:
-    """Made by VectorDatabase.create() or load(). Methods that answer with Python objects collect their own result only."""
+    """Made by VectorDatabase.create() or load(). Methods that answer with Python objects collect their own result only.
+
+    Threads may read and change a collection together: every read works on one immutable state, changes wait for each other.
+    """
 
     def __init__(self, spark: SparkSession, config: Config):
         self.spark, self.config = spark, config
         self._space = Workspace(spark)
-        self._segments: list[str] = []
-        self._dead: list[str] = []
-        self._stranded = 0
+        self._lock = threading.RLock()
+        self._state = State()
         self._seq = self._row = self._generated = 0
-        self._count = 0
         self._index_metadata: dict[str, str] = {}
-        self._codebook: np.ndarray | None = None
-        self._active = False
-        self._calibration: Calibration | None = None
-        self._cells: np.ndarray | None = None
         self._warned = False
 
     # -- configuration ---------------------------------------------------------------------------------------------
@@ -71,11 +112,18 @@ class Collection:
     @property
     def records(self) -> DataFrame:
         """Every live record: row_id, id, seq, vector, code, cell, json, fields (and declared)."""
+        return self._rows(self._state)
+
+    def _rows(self, state: State) -> DataFrame:
+        """A state's live records. Its dead rows are few (MOST_DEAD), so they are sent to the scan and no record is shuffled."""
         schema = row_schema(self.config.indexed_fields)
-        if not self._segments:
+        if not state.segments:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(*self._segments)
-        return rows.join(self.spark.read.schema("row_id long").parquet(*self._dead), "row_id", "left_anti") if self._dead else rows
+        rows = self.spark.read.schema(schema).parquet(*(s.path for s in state.segments))
+        return rows.join(F.broadcast(self._dead_rows(state)), "row_id", "left_anti") if state.dead else rows
+
+    def _dead_rows(self, state: State) -> DataFrame:
+        return self.spark.read.schema("row_id long").parquet(*state.dead)
 
     def _field(self, rows: DataFrame, name: str) -> StoredField:
         declared = self.config.indexed_fields
@@ -97,15 +145,40 @@ class Collection:
         """id, seq, vector, json of the records that match, as a DataFrame."""
         return self._condition(self.records, filter)[0].select("id", "seq", "vector", "json")
 
-    def _kill(self, rows: DataFrame) -> int:
-        """Mark rows (row_id) dead; their number."""
+    def _marked(self, state: State, rows: DataFrame) -> tuple[State, int]:
+        """The state with rows (row_id) dead, and their number; where dead rows get too many, segments are rewritten without them."""
         path = self._space.write(rows.select("row_id"))
         n = self.spark.read.parquet(path).count()
-        if n:
-            self._dead.append(path)
-            self._stranded += n
-            self._count -= n
-        return n
+        if not n:
+            return state, 0
+        state = replace(state, dead=(*state.dead, path), stranded=state.stranded + n, count=state.count - n)
+        return (self._relieved(state) if state.stranded > MOST_DEAD or len(state.dead) > DEAD_TABLES else state), n
+
+    def _relieved(self, state: State) -> State:
+        """The state with its segments of most dead rows rewritten until half of MOST_DEAD is left, and one table of dead rows."""
+        starts = sorted(state.segments, key=lambda s: s.first)
+        dead = self._dead_rows(state)
+        place = F.size(F.filter(F.array(*(F.lit(s.first) for s in starts)), lambda first: first <= F.col("row_id")))
+        held = {r.place: r["count"] for r in dead.groupBy(place.alias("place")).count().collect()}
+        left, fresh = sum(held.values()), {}
+        for place in sorted(held, key=held.get, reverse=True):
+            if left <= MOST_DEAD // 2:
+                break
+            segment = starts[place - 1]
+            rows = self.spark.read.schema(row_schema(self.config.indexed_fields)).parquet(segment.path)
+            inside = dead.filter((F.col("row_id") >= segment.first) & (F.col("row_id") < segment.end))
+            fresh[segment] = replace(segment, path=self._space.write(self._clustered(rows.join(inside, "row_id", "left_anti"))))
+            left -= held[place]
+        for segment in fresh:
+            dead = dead.filter((F.col("row_id") < segment.first) | (F.col("row_id") >= segment.end))
+        return replace(state, segments=tuple(fresh.get(s, s) for s in state.segments), dead=(self._space.write(dead),) if left else (), stranded=left)
+
+    def _clustered(self, rows: DataFrame, whole: bool = False) -> DataFrame:
+        """Rows ordered by the declared fields, so that conditions on them skip row groups; ``whole``: and dealt over files by the first."""
+        fields = [F.col(f"declared.f{i}.{part}") for i in range(len(self.config.indexed_fields)) for part in ("kind", "num", "text")]
+        if not fields:
+            return rows
+        return (rows.repartitionByRange(*fields[:3]) if whole else rows).sortWithinPartitions(*fields)
 
     def _named(self, ids: list[str]) -> tuple[DataFrame, Column | None]:
         return self.spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id string, place long"), F.col("id").isin(ids) if len(ids) <= LISTED else None
@@ -117,6 +190,7 @@ class Collection:
 
     # -- adding ----------------------------------------------------------------------------------------------------
 
+    @exclusive
     def add(self, data: Any, overwrite: bool = True) -> AddResult:
         """Add one record, lists of records or of columns, or a matrix; DataFrames go to add_frame()."""
         if isinstance(data, DataFrame):
@@ -143,6 +217,7 @@ class Collection:
         self._generated += 1
         return f"vec_{self._generated}"
 
+    @exclusive
     def add_frame(self, df: DataFrame, overwrite: bool = True, most_errors: int = 1_000) -> AddResult:
         """Add the rows of a DataFrame with vector, and if there are such columns id and metadata (JSON text, map or struct).
 
@@ -181,25 +256,27 @@ class Collection:
 
     def _insert(self, rows: DataFrame, overwrite: bool, n: int, most: int | None = None) -> tuple[list[str], int]:
         """Write rows (INPUT) as a segment; of an id that comes twice the first row. The ids refused for being there, and the rows inserted."""
-        first = Window.partitionBy("id").orderBy("ordinal")
-        rows = rows.withColumn("turn", F.row_number().over(first)).filter("turn = 1").drop("turn")
+        ids = rows.select("id", "ordinal")
+        several = ids.groupBy("id").agg(F.min("ordinal").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        if not several.isEmpty():  # only then do rows meet their later namesakes, by a number that none shares
+            rows = rows.join(ids.join(several, "id").filter("ordinal > first").select("ordinal"), "ordinal", "left_anti")
+        state = self._state
         refused: list[str] = []
-        there = self.records.select("row_id", "id") if self._segments else None
+        there = self._rows(state).select("row_id", "id") if state.segments else None
         if there is not None and not overwrite:
             known = rows.select("id").join(there.select("id"), "id", "left_semi")
             refused = [r.id for r in (known.limit(most) if most else known).collect()]
             rows = rows.join(there.select("id"), "id", "left_anti")
-        keep = not (self._active and self.config.quantization.storage_mode == "quantized_only")
+        keep = not (state.active and self.config.quantization.storage_mode == "quantized_only")
         based = rows.select((F.col("ordinal") + self._row).alias("row_id"), "id", (F.col("ordinal") + self._seq + 1).alias("seq"), "vector", "json")
-        made = stored_rows(based, self.space, self.config.indexed_fields, self._codebook if self._active else None, self._cells, keep)
-        path = self._space.write(made)
+        made = stored_rows(based, self.space, self.config.indexed_fields, state.codebook if state.active else None, state.cells, keep)
+        path = self._space.write(self._clustered(made))
         inserted = self.spark.read.parquet(path).count()
         if there is not None and overwrite:
-            self._kill(there.join(self.spark.read.parquet(path).select("id"), "id", "left_semi"))
-        self._segments.append(path)
+            state, _ = self._marked(state, there.join(self.spark.read.parquet(path).select("id"), "id", "left_semi"))
+        self._state = replace(state, segments=(*state.segments, Segment(path, self._row, self._row + n)), count=state.count + inserted)
         self._row += n
         self._seq += n
-        self._count += inserted
         return refused, inserted
 
     # -- search ----------------------------------------------------------------------------------------------------
@@ -210,11 +287,12 @@ class Collection:
         if isinstance(vector, (list, tuple, np.ndarray)) and len(vector) == 0:
             raise ValueError("Batch cannot be empty" if getattr(vector, "ndim", 1) == 2 else "Search vector cannot be empty")
         queries = [check_vector(v, self.dim, f"Vector {i} in batch" if batch else "Search vector") for i, v in enumerate(vector if batch else [vector])]
-        page = self.search_matrix(np.array(queries, np.float32), filter, top_k, ef_search, rerank)
+        state = self._state
+        page = self._search(state, np.array(queries, np.float32), filter, top_k, ef_search, rerank)
         kept = ["qid", "rank", "id", "score"]
         out: list[list[dict]] = [[] for _ in queries]
         if page is not None:
-            rows = self.records.select("id", "json", *(["vector", "code"] if return_vector else []))
+            rows = self._rows(state).select("id", "json", *(["vector", "code"] if return_vector else []))
             found = page.select(*kept).join(rows, "id").orderBy("qid", "rank").collect()
             for r in found:
                 hit = {"id": r.id, "score": r.score, "metadata": json.loads(r.json)}
@@ -226,22 +304,26 @@ class Collection:
     def _vector(self, row: Any) -> np.ndarray:
         if row.vector is not None:
             return np.array(row.vector, np.float32)
-        return reconstruct_block(np.frombuffer(bytes(row.code), np.uint8)[None], self._codebook)[0].astype(np.float32)
+        return reconstruct_block(np.frombuffer(bytes(row.code), np.uint8)[None], self._state.codebook)[0].astype(np.float32)
 
     def search_matrix(self, queries: np.ndarray, filter: Mapping | None = None, top_k: int = 10, ef_search: int | None = None, rerank: int | None = None) -> DataFrame | None:
         """qid (row of the matrix), rank, id, score as a DataFrame; None for an empty page.
 
         Exact over the matching records, unless cells were built (rebuild()) and ef_search is below the record count. A
         quantised collection scores codes (squared L2), rescores a calibrated number of candidates on raw vectors where it keeps
-        them, and scores a filter's matches, up to EXACT_MATCHES, by the raw metric.
+        them, and scores a filter's matches, up to EXACT_MATCHES, by the raw metric; so the scale of its scores depends on how many
+        records the filter leaves.
         """
+        return self._search(self._state, queries, filter, top_k, ef_search, rerank)
+
+    def _search(self, state: State, queries: np.ndarray, filter: Mapping | None, top_k: int, ef_search: int | None, rerank: int | None) -> DataFrame | None:
         _whole("top_k", top_k, 0, MAX_TOP_K)
         if ef_search is not None:
             _whole("ef_search", ef_search, 1, MAX_EF_SEARCH)
         if rerank is not None:
             _whole("rerank", rerank, 0, MAX_TOP_K)
-        rows, narrowed = self._condition(self.records, filter)
-        if top_k == 0 or not self._count:
+        rows, narrowed = self._condition(self._rows(state), filter)
+        if top_k == 0 or not state.count:
             return None
         queries = np.asarray(queries, np.float32)
         if self.space == "cosine":
@@ -250,29 +332,29 @@ class Collection:
         found = []
         for start in range(0, len(queries), QUERY_BLOCK):
             part = queries[start : start + QUERY_BLOCK]
-            found.append(self._search_block(rows, narrowed, list(range(start, start + len(part))), part, top_k, ef_search, rerank))
+            found.append(self._search_block(state, rows, narrowed, list(range(start, start + len(part))), part, top_k, ef_search, rerank))
         return reduce(DataFrame.unionByName, found)
 
-    def _search_block(self, rows: DataFrame, narrowed: bool, ids: list[int], part: np.ndarray, k: int, ef: int | None, rerank: int | None) -> DataFrame:
-        near = self._cells is not None and ef is not None and ef < self._count
+    def _search_block(self, state: State, rows: DataFrame, narrowed: bool, ids: list[int], part: np.ndarray, k: int, ef: int | None, rerank: int | None) -> DataFrame:
+        near = state.cells is not None and ef is not None and ef < state.count
 
         def run(scorer: Any, rows: DataFrame, k: int) -> DataFrame:
             if near:
-                mask = probes(part, self._cells, ef, self._count)
+                mask = probes(part, state.cells, ef, state.count)
                 rows = rows.filter(F.col("cell").isin([int(c) for c in np.flatnonzero(mask.any(0))]))
                 scorer = Probed(scorer, mask)
             return scored_topk(rows, ids, scorer, k, "long")
 
-        if not self._active:
+        if not state.active:
             return run(Exact(self.space, part, unit=True), rows, k)
         raw = self.config.quantization.storage_mode == "quantized_with_raw"
-        exact = Exact(self.space, part, unit=True) if raw else ReconstructedDistance(self.space, part, self._codebook)
+        exact = Exact(self.space, part, unit=True) if raw else ReconstructedDistance(self.space, part, state.codebook)
         if narrowed and rows.limit(EXACT_MATCHES + 1).count() <= EXACT_MATCHES:
             return run(exact, rows, k)
-        by_code = AsymmetricDistance(part, self._codebook)
+        by_code = AsymmetricDistance(part, state.codebook)
         if not raw or rerank == 0:
             return run(by_code, rows, k)
-        fetch = fetch_count(k, self._count, rerank, self._calibration)
+        fetch = fetch_count(k, state.count, rerank, state.calibration)
         return self._rescored(run(by_code, rows, fetch), rows, ids, part, k)
 
     def _rescored(self, candidates: DataFrame, rows: DataFrame, ids: list[int], part: np.ndarray, k: int) -> DataFrame:
@@ -284,14 +366,15 @@ class Collection:
     # -- counting, listing, lookup ---------------------------------------------------------------------------------
 
     def count(self, filter: Mapping | None = None) -> int:
-        rows, narrowed = self._condition(self.records, filter)
-        return rows.count() if narrowed else self._count
+        state = self._state
+        rows, narrowed = self._condition(self._rows(state), filter)
+        return rows.count() if narrowed else state.count
 
     def __len__(self) -> int:
-        return self._count
+        return self._state.count
 
     def get_vector_count(self) -> int:
-        return self._count
+        return self._state.count
 
     def list(self, number: int = 10, offset: int = 0, after: str | None = None) -> list[tuple[str, dict]]:
         """(id, metadata) in arrival order, from an offset or after an id."""
@@ -312,7 +395,7 @@ class Collection:
         """Records by id in the order asked, as often as asked; missing ones are left out, or with strict a KeyError."""
         wanted = [ids] if isinstance(ids, str) else ids
         if not isinstance(wanted, (list, tuple)) or not all(isinstance(i, str) for i in wanted):
-            raise TypeError("Expected a string or a list of strings for ID(s)")
+            raise TypeError("ids must be a string or a list of strings")
         if not wanted:
             return []
         rows = self._by_ids(list(wanted)).select("id", "json", *(["vector", "code"] if return_vector else []))
@@ -328,28 +411,36 @@ class Collection:
 
     # -- removing and changing -------------------------------------------------------------------------------------
 
+    @exclusive
     def remove_point(self, id: str) -> bool:
-        return self._kill(self.records.filter(F.col("id") == id)) > 0
+        return self._remove(self.records.filter(F.col("id") == id)) > 0
+
+    def _remove(self, rows: DataFrame) -> int:
+        self._state, n = self._marked(self._state, rows)
+        return n
 
+    @exclusive
     def remove_points(self, ids: list[str]) -> list[str]:
         """The ids that were not there, in the order given, once each."""
         if isinstance(ids, str) or not all(isinstance(i, str) for i in ids):
-            raise TypeError("Expected a list of strings")
+            raise TypeError("ids must be a list of strings")
         ids = list(dict.fromkeys(ids))
         if not ids:
             return []
         rows = self._by_ids(ids).select("row_id", "id")
         there = {r.id for r in rows.collect()}
         if there:
-            self._kill(rows)
+            self._remove(rows)
         return [i for i in ids if i not in there]
 
+    @exclusive
     def remove_where(self, filter: Mapping) -> int:
         node = parse(filter)
         if always(node):
             raise ValueError("This filter matches every record; use clear() to remove them all")
-        return self._kill(self._condition(self.records, filter)[0])
+        return self._remove(self._condition(self.records, filter)[0])
 
+    @exclusive
     def delete(self, ids: Any = None, where: Mapping | None = None) -> int:
         if (ids is None) == (where is None):
             raise ValueError("delete() takes ids or where, and not both")
@@ -360,12 +451,14 @@ class Collection:
             raise TypeError("delete(ids=) expects a string or a list of strings")
         return len(set(wanted)) - len(self.remove_points(list(wanted)))
 
+    @exclusive
     def update_metadata(self, id: str, metadata: dict) -> bool:
         """Replace one record's metadata; its vector and place stay."""
         if not isinstance(metadata, dict):
             raise TypeError("metadata must be a dictionary")
         return self.update_frame(self.spark.createDataFrame([(id, json.dumps(stored(metadata), ensure_ascii=False))], "id string, metadata string")) > 0
 
+    @exclusive
     def update_frame(self, df: DataFrame) -> int:
         """Replace the metadata (JSON text) of every record that df (id, metadata) names; how many there were."""
         rows = self.records
@@ -378,20 +471,20 @@ class Collection:
         fresh = stored_rows(staged.select((F.col("ordinal") + base).alias("row_id"), "id", "seq", F.coalesce("vector", F.array_repeat(F.lit(0.0).cast("float"), self.dim)).alias("vector"), "json"), "l2", self.config.indexed_fields, None, None, True)
         kept = staged.select("id", "vector", "code", "cell")
         joined = fresh.drop("vector", "code", "cell").join(kept, "id").select("row_id", "id", "seq", "vector", "code", "cell", "json", "fields", *(["declared"] if self.config.indexed_fields else []))
-        path = self._space.write(joined)
-        self._kill(staged.select("row_id"))
-        self._segments.append(path)
+        path = self._space.write(self._clustered(joined))
+        state, _ = self._marked(self._state, staged.select("row_id"))
+        self._state = replace(state, segments=(*state.segments, Segment(path, base, base + n)), count=state.count + n)
         self._row += n
-        self._count += n
         return n
 
+    @exclusive
     def clear(self) -> int:
         """Remove every record; configuration, index metadata and a trained codebook stay, generated ids are not issued again."""
-        n, self._count = self._count, 0
-        self._segments, self._dead, self._stranded, self._seq = [], [], 0, 0
-        self._cells = None
+        n, self._seq = self._state.count, 0
+        self._state = replace(self._state, segments=(), dead=(), stranded=0, count=0, cells=None)
         return n
 
+    @exclusive
     def add_metadata(self, metadata: Mapping[str, str]) -> None:
         self._index_metadata.update({str(k): str(v) for k, v in metadata.items()})
 
@@ -403,13 +496,19 @@ class Collection:
 
     # -- maintenance -----------------------------------------------------------------------------------------------
 
+    @exclusive
     def compact(self) -> int:
         """Rewrite the live records without the dead ones; how many those were (0: nothing to do)."""
-        n = self._stranded
+        n = self._state.stranded
         if n:
-            self._segments, self._dead, self._stranded = [self._space.write(self.records)], [], 0
+            self._state = self._rewritten(self._clustered(self.records, whole=True))
         return n
 
+    def _rewritten(self, rows: DataFrame, **more: Any) -> State:
+        """The state with rows, which hold all live records, in one segment."""
+        return replace(self._state, segments=(Segment(self._space.write(rows), 0, self._row),), dead=(), stranded=0, **more)
+
+    @exclusive
     def rebuild(self, m: int | None = None, expected_size: int | None = None, ef_construction: int | None = None) -> int:
         """Fit cells for approximate search and rewrite the records by cell, so that a query's cells are few files; how many records."""
         if m is None and expected_size is None and ef_construction is None:
@@ -420,13 +519,14 @@ class Collection:
             self.config.expected_size = _whole("expected_size", expected_size, 1, MAX_EXPECTED)
         if ef_construction is not None:
             self.config.ef_construction = _whole("ef_construction", ef_construction, 1, 4096)
-        self.compact()
-        if not self._count:
+        state = self._state
+        if not state.count:
             return 0
-        rows = self.records
-        sample = rows.orderBy(F.xxhash64("seq")).limit(SAMPLE).select("seq", "vector", "code").orderBy("seq").collect()
-        self._cells = fit_cells(np.array([self._vector(r) for r in sample]), cell_count(self._count, self.config.m))
-        shared = self.spark.sparkContext.broadcast((self._cells, self._codebook))
+        rows = self._rows(state)
+        sample = rows.orderBy(F.xxhash64("seq")).limit(SAMPLE).select("seq", "vector", "code")
+        cells = fit_cells_in_task(sample, cell_count(state.count, self.config.m), state.codebook)
+        shared = self.spark.sparkContext.broadcast((cells, state.codebook))
+
         def run(batches: Any) -> Any:
             cells, codebook = shared.value
             for batch in batches:
@@ -437,8 +537,8 @@ class Collection:
                     yield batch.set_column(at, "cell", pa.array(assign(np.asarray(x, float), cells)[0].astype(np.int32)))
 
         placed = rows.mapInArrow(run, rows.schema)
-        self._segments = [self._space.write(placed.repartitionByRange("cell").sortWithinPartitions("cell"))]
-        return self._count
+        self._state = self._rewritten(placed.repartitionByRange("cell").sortWithinPartitions("cell"), cells=cells)
+        return state.count
 
     def shrink_to_fit(self) -> int:
         """Nothing is held in memory between calls."""
@@ -448,28 +548,31 @@ class Collection:
 
     def _maybe_train(self) -> list[str]:
         q = self.config.quantization
-        if q is None or self._active or self._count < q.training_size:
+        if q is None or self._state.active or self._state.count < q.training_size:
             return []
         try:
             self._train(q)
-        except Exception as e:  # reported, and not counted among the records' errors
+        except (ValueError, np.linalg.LinAlgError) as e:  # reported, and not counted among the records' errors
             log.warning("Training failed: %s", e)
             return [f"Training failed: {e}"]
         return []
 
     def _train(self, q: Quantization) -> None:
-        """Fit the codebook on the first training_size records by arrival (capped by a seeded draw), then encode all."""
-        if self._codebook is None:
+        """Fit the codebook on the first training_size records by arrival (of more than MOST_TRAINING a seeded draw), then encode all."""
+        codebook, calibration = self._state.codebook, self._state.calibration
+        if codebook is None:
             sample = self.records.orderBy("seq").limit(q.training_size).select("seq", "vector")
-            if q.max_training_vectors and q.max_training_vectors < q.training_size:
-                sample = sample.orderBy(F.xxhash64("seq")).limit(q.max_training_vectors)
+            most = min(q.max_training_vectors or MOST_TRAINING, MOST_TRAINING)
+            if most < q.training_size:
+                sample = sample.orderBy(F.xxhash64("seq")).limit(most)
             sample = self.spark.read.parquet(self._space.write(sample))
-            self._codebook = train(sample, q.subvectors, q.bits)
+            codebook = train(sample, q.subvectors, q.bits)
             if q.storage_mode == "quantized_with_raw":
                 rows = sample.orderBy("seq").limit(10_000).collect()
-                self._calibration = calibrate(self.space, np.array([r.vector for r in rows], np.float32), self._codebook)
-        shared = self.spark.sparkContext.broadcast(self._codebook)
+                calibration = calibrate(self.space, np.array([r.vector for r in rows], np.float32), codebook)
+        shared = self.spark.sparkContext.broadcast(codebook)
         keep = q.storage_mode == "quantized_with_raw"
+
         def run(batches: Any) -> Any:
             for batch in batches:
                 if batch.num_rows:
@@ -480,146 +583,184 @@ class Collection:
                     yield batch
 
         rows = self.records
-        self._segments, self._dead, self._stranded = [self._space.write(rows.mapInArrow(run, rows.schema))], [], 0
-        self._active = True
+        self._state = self._rewritten(rows.mapInArrow(run, rows.schema), codebook=codebook, calibration=calibration, active=True)
 
     def has_quantization(self) -> bool:
         return self.config.quantization is not None
 
     def can_use_quantization(self) -> bool:
-        return self._codebook is not None
+        return self._state.codebook is not None
 
     def is_quantized(self) -> bool:
-        return self._active
+        return self._state.active
 
     def is_training_ready(self) -> bool:
         q = self.config.quantization
-        return q is not None and (self._codebook is not None or self._count >= q.training_size)
+        return q is not None and (self._state.codebook is not None or self._state.count >= q.training_size)
 
     def training_vectors_needed(self) -> int:
         q = self.config.quantization
-        return 0 if q is None or self._codebook is not None else max(0, q.training_size - self._count)
+        return 0 if q is None or self._state.codebook is not None else max(0, q.training_size - self._state.count)
 
     def get_training_progress(self) -> float:
         q = self.config.quantization
-        return 0.0 if q is None else 100.0 if self._codebook is not None else min(100.0, 100.0 * self._count / q.training_size)
+        return 0.0 if q is None else 100.0 if self._state.codebook is not None else min(100.0, 100.0 * self._state.count / q.training_size)
 
     def get_storage_mode(self) -> str:
         q = self.config.quantization
         if q is None:
             return "raw_only"
-        if self._active:
+        if self._state.active:
             return "quantized_active"
-        if self._codebook is not None:
+        if self._state.codebook is not None:
             return "raw_trained_not_rebuilt"
-        return "raw_ready_for_training" if self._count >= q.training_size else "raw_collecting_for_training"
+        return "raw_ready_for_training" if self._state.count >= q.training_size else "raw_collecting_for_training"
 
+    @exclusive
     def rebuild_with_quantization(self) -> bool:
         """Encode every record by the trained codebook, where that has not happened; whether the collection is quantised."""
-        if self._codebook is not None and not self._active:
+        if self._state.codebook is not None and not self._state.active:
             self._train(self.config.quantization)
-        return self._active
+        return self._state.active
 
     def get_quantization_info(self) -> dict | None:
         q = self.config.quantization
         if q is None:
             return None
-        info = {"type": "pq", "subvectors": q.subvectors, "bits": q.bits, "training_size": q.training_size, "storage_mode": q.storage_mode, "is_trained": self._codebook is not None, "compression_ratio": 4 * self.dim / q.subvectors}
+        info = {"type": "pq", "subvectors": q.subvectors, "bits": q.bits, "training_size": q.training_size, "storage_mode": q.storage_mode, "is_trained": self._state.codebook is not None, "compression_ratio": 4 * self.dim / q.subvectors}
         if q.max_training_vectors is not None:
             info["max_training_vectors"] = q.max_training_vectors
-        if self._codebook is not None:
+        if self._state.codebook is not None:
             info["memory_mb"] = fixed_bytes(self.dim, q.subvectors, q.bits) / 2**20
         return info
 
     # -- introspection ---------------------------------------------------------------------------------------------
 
     def get_stats(self) -> dict[str, str]:
-        q, n = self.config.quantization, self._count
-        raw = 0 if self._active and q.storage_mode == "quantized_only" else n
-        codes = n if self._active else 0
+        """Fixed keys; ``index_type`` is cells once rebuild() has made them, else exact, and ``graph_nodes`` counts stored rows, dead ones too."""
+        state, q = self._state, self.config.quantization
+        n, trained = state.count, state.codebook is not None
+        raw = 0 if state.active and q.storage_mode == "quantized_only" else n
+        codes = n if state.active else 0
         mb = lambda b: f"{b / 2**20:.2f}"
         k = q.centroids if q else 0
-        book = 4 * k * self.dim if self._codebook is not None else 0
-        table = 4 * q.subvectors * math.comb(k, 2) if self._codebook is not None else 0
-        parts = [0, 4 * raw * self.dim, codes * (q.subvectors if q else 0), book, table, 0]
+        book = 4 * k * self.dim if trained else 0
+        table = 4 * q.subvectors * math.comb(k, 2) if trained else 0
+        cells = 0 if state.cells is None else 8 * state.cells.size
+        parts = [cells, 4 * raw * self.dim, codes * (q.subvectors if q else 0), book, table, 0]
         out = {
-            "dimension": self.dim, "space": self.space, "m": self.m, "ef_construction": self.ef_construction, "expected_size": self.expected_size, "index_type": "HNSW",
-            "total_vectors": n, "graph_nodes": n + self._stranded, "stranded_graph_nodes": self._stranded, "raw_vectors_stored": raw, "quantized_codes_stored": codes,
+            "dimension": self.dim, "space": self.space, "m": self.m, "ef_construction": self.ef_construction, "expected_size": self.expected_size, "index_type": "exact" if state.cells is None else "cells",
+            "total_vectors": n, "graph_nodes": n + state.stranded, "stranded_graph_nodes": state.stranded, "raw_vectors_stored": raw, "quantized_codes_stored": codes,
             "storage_mode": q.storage_mode if q else "raw_only", "storage_mode_description": self.get_storage_mode(), "storage_strategy": "parquet_segments", "thread_safety": "immutable_snapshots",
             "graph_memory_mb": mb(parts[0]), "raw_vectors_memory_mb": mb(parts[1]), "quantized_codes_memory_mb": mb(parts[2]), "codebook_memory_mb": mb(parts[3]), "sdc_table_memory_mb": mb(parts[4]), "index_bookkeeping_memory_mb": mb(parts[5]), "total_memory_mb": mb(sum(parts)),
-            "quantization_type": "pq" if q else "none", "segments": len(self._segments),
+            "quantization_type": "pq" if q else "none", "segments": len(state.segments),
         }
         if q:
-            out |= {"raw_vectors_retained": "all_records" if q.storage_mode == "quantized_with_raw" else "none_once_trained", "quantization_active": str(self._active).lower(), "quantization_trained": str(self._codebook is not None).lower(), "quantization_compression_ratio": f"{4 * self.dim / q.subvectors:.1f}x", "quantization_training_size": q.training_size, "training_progress": f"{self.get_training_progress():.1f}", "training_threshold_reached": str(n >= q.training_size).lower(), "rerank_default_fetch": fetch_count(10, n, None, self._calibration)}
-        if c := self._calibration:
-            out |= {"rerank_calibration_fetch": c.fetch, "rerank_calibration_records": c.records, "rerank_calibration_queries": c.queries, "rerank_calibration_target_recall": 0.99, "rerank_calibration_exponent": f"{c.exponent:.3f}", "rerank_calibration_fit_fetches": ",".join(map(str, c.fit_fetches)), "rerank_calibration_pages": "1,10,100", "rerank_calibration_page_fetches": ",".join(map(str, c.page_fetches))}
+            out |= {"raw_vectors_retained": "all_records" if q.storage_mode == "quantized_with_raw" else "none_once_trained", "quantization_active": str(state.active).lower(), "quantization_trained": str(trained).lower(), "quantization_compression_ratio": f"{4 * self.dim / q.subvectors:.1f}x", "quantization_training_size": q.training_size, "training_progress": f"{self.get_training_progress():.1f}", "training_vectors_needed": self.training_vectors_needed(), "training_threshold_reached": str(n >= q.training_size).lower(), "rerank_default_fetch": fetch_count(10, n, None, state.calibration), "rerank_calibrated": str(state.calibration is not None).lower()}
+        if c := state.calibration:
+            out |= {"rerank_calibration_fetch": c.fetch, "rerank_calibration_records": c.records, "rerank_calibration_queries": c.queries, "rerank_calibration_target_recall": 0.99, "rerank_calibration_exponent": f"{c.exponent:.3f}", "rerank_calibration_fit_fetches": ",".join(map(str, c.fit_fetches)), "rerank_calibration_pages": "1,10,100", "rerank_calibration_page_fetches": ",".join(map(str, c.page_fetches)), "rerank_calibration_page_exponent": f"{c.page_exponent:.3f}", "rerank_calibration_ms": c.millis}
         return {k: str(v) for k, v in out.items()}
 
     def info(self) -> str:
-        q = self.config.quantization
+        state, q = self._state, self.config.quantization
         mode = f", quantization=pq({q.subvectors}x{q.bits}, {self.get_storage_mode()})" if q else ""
-        return f"HNSWIndex(dim={self.dim}, space={self.space}, m={self.m}, ef_construction={self.ef_construction}, expected_size={self.expected_size}, vectors={self._count}{mode})"
+        index = "exact" if state.cells is None else f"cells({len(state.cells)})"
+        return f"Collection(dim={self.dim}, space={self.space}, m={self.m}, ef_construction={self.ef_construction}, expected_size={self.expected_size}, vectors={state.count}, index={index}{mode})"
 
     __repr__ = info
 
     def get_performance_info(self) -> dict[str, str]:
-        return {"search": "one Spark job for each block of queries; every task keeps a running top-k", "insert": "one Parquet segment for each add", "delete": "tombstones until compact()"}
-
-    def benchmark_concurrent_reads(self, query_count: int = 20, max_threads: int = 4) -> dict[str, float]:
-        """Seconds and queries a second of queries one by one and as one batch."""
+        """What searches and changes cost, under fixed keys."""
+        out = {"search_speedup_expected": "a block of queries costs one pass over the records", "search_bottleneck": "one Spark job for each call", "benefits": "distributed scan, running top-k in every task, filters below the scan", "insertion_path": "one Parquet segment for each add; removals are marked and sent to the scan"}
+        if q := self.config.quantization:
+            out |= {"quantization_compression": f"{4 * self.dim / q.subvectors:.1f}x", "quantization_accuracy_impact": "lost recall comes back where candidates are rescored" if q.storage_mode == "quantized_with_raw" else "lost recall stays, as raw vectors are not kept"}
+        return out
+
+    def benchmark_concurrent_reads(self, query_count: int = 20, max_threads: int | None = None) -> dict[str, float]:
+        """Seconds and queries a second of single searches, one after another and from so many threads at once."""
         rng = np.random.default_rng(0)
         queries = rng.standard_normal((query_count, self.dim)).astype(np.float32)
+        threads = max(1, min(max_threads or query_count, query_count, os.cpu_count() or 1))
         began = time.perf_counter()
         for q in queries:
             self.search(q, top_k=10)
         one = time.perf_counter() - began
         began = time.perf_counter()
-        self.search(queries, top_k=10)
+        with ThreadPoolExecutor(threads) as pool:
+            list(pool.map(lambda q: self.search(q, top_k=10), queries))
         many = time.perf_counter() - began
-        return {"sequential_time_ms": one * 1e3, "parallel_time_ms": many * 1e3, "sequential_qps": query_count / one, "parallel_qps": query_count / many, "speedup": one / many, "threads_used": float(max_threads)}
+        return {"sequential_time": one, "sequential_qps": query_count / one, "parallel_time": many, "parallel_qps": query_count / many, "speedup": one / many, "threads_used": float(threads)}
 
     # -- persistence -----------------------------------------------------------------------------------------------
 
     def save(self, path: str) -> None:
         """Write the live records, the codebook and the state; an earlier save at the path is replaced whole."""
-        q = self.config.quantization
-        manifest = {
-            "config": asdict(self.config), "count": self._count, "seq": self._seq, "row": self._row, "generated": self._generated, "index_metadata": self._index_metadata, "active": self._active,
-            "calibration": self._calibration.to_json() if self._calibration else None, "has_quantization": q is not None,
-        }
-        tables = {"records": self.records}
-        for name, array in (("codebook", self._codebook), ("cells", self._cells)):
+        with self._lock:
+            state, q = self._state, self.config.quantization
+            manifest = {
+                "config": asdict(self.config), "count": state.count, "seq": self._seq, "row": self._row, "generated": self._generated, "index_metadata": dict(self._index_metadata), "active": state.active,
+                "calibration": state.calibration.to_json() if state.calibration else None, "has_quantization": q is not None,
+            }
+        tables = {"records": self._rows(state)}
+        for name, array in (("codebook", state.codebook), ("cells", state.cells)):
             if array is not None:
                 manifest[f"{name}_shape"] = list(array.shape)
                 tables[name] = self.spark.createDataFrame(pa.table({"place": pa.array(range(array.reshape(-1, array.shape[-1]).shape[0]), pa.int64()), "numbers": pa.array(array.reshape(-1, array.shape[-1]).tolist(), pa.list_(pa.float64()))})).coalesce(1)
-        storage.save(self.spark, path, tables, manifest)
+        storage.save(self.spark, path, tables, manifest, rows_a_file=max(1_000, FILE_BYTES // (4 * self.dim + 1_024)))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Collection:
+        """A saved collection, once its files, its records and its numbers have been checked; raises what is wrong with them."""
         manifest, tables = storage.load(spark, path)
-        given = manifest["config"]
-        q = given.pop("quantization")
-        config = check(**{k: given[k] for k in ("dim", "space", "m", "expected_size", "indexed_fields")}, ef_construction=max(given["ef_construction"], 1))
-        config.quantization = Quantization(**q) if q else None
+        wrong = lambda what: ValueError(f"{path}: {what}")
+        try:
+            given = manifest["config"]
+            q = given.pop("quantization")
+            config = check(**{k: given[k] for k in ("dim", "space", "m", "expected_size", "indexed_fields")}, ef_construction=max(given["ef_construction"], 1))
+            config.quantization = Quantization(**q) if q else None
+            count, seq, row, generated, active = (manifest[k] for k in ("count", "seq", "row", "generated", "active"))
+            index_metadata, calibration = manifest["index_metadata"], Calibration(**manifest["calibration"]) if manifest["calibration"] else None
+            shapes = {name: tuple(manifest[f"{name}_shape"]) for name in ("codebook", "cells") if name in tables}
+        except (KeyError, TypeError, AttributeError) as e:
+            raise wrong(f"the manifest lacks something or holds another type ({e})") from e
         if q and config.space == "dot":
-            raise ValueError("A saved collection in the dot space cannot be quantized")
+            raise wrong("a collection in the dot space cannot be quantized")
+        if any(isinstance(n, bool) or not isinstance(n, int) or n < 0 for n in (count, seq, row, generated)) or count > row:
+            raise wrong("the manifest's counters are not whole numbers that fit each other")
+        if not isinstance(active, bool) or active and (config.quantization is None or "codebook" not in tables):
+            raise wrong("the collection is said to be quantized and has no codebook")
         self = cls(spark, config)
-        rows = tables["records"]
-        bad = rows.filter("vector is not null").filter(vector_error(F.col("vector"), config.dim).isNotNull())
-        if (n := rows.count()) != manifest["count"] or bad.limit(1).count():
-            raise ValueError(f"{path}: the records do not fit the manifest ({n} rows, {manifest['count']} expected, or a damaged vector)")
-        # A later save at the same path replaces that folder, so a loaded collection works on its own copy.
-        self._segments = [self._space.write(rows)] if n else []
-        self._count, self._seq, self._row, self._generated = n, manifest["seq"], manifest["row"], manifest["generated"]
-        self._index_metadata, self._active = manifest["index_metadata"], manifest["active"]
-        self._calibration = Calibration(**manifest["calibration"]) if manifest["calibration"] else None
-        for name in ("codebook", "cells"):
-            if name in tables:
-                values = np.array([r.numbers for r in tables[name].orderBy("place").collect()]).reshape(manifest[f"{name}_shape"])
-                setattr(self, f"_{name}", values.astype(np.float32) if name == "codebook" else values)
-        if self._codebook is not None and not self._codebook.any():
-            raise ValueError(f"{path}: the codebook is all zeros")
+        arrays: dict[str, np.ndarray | None] = {"codebook": None, "cells": None}
+        for name, shape in shapes.items():
+            values = np.array([r.numbers for r in tables[name].orderBy("place").limit(MOST_NUMBERS).collect()], float)
+            fits = shape == (config.quantization.subvectors, config.quantization.centroids, config.dim // config.quantization.subvectors) if name == "codebook" and config.quantization else len(shape) == 2 and shape[1:] == (config.dim,)
+            if not fits or values.size != math.prod(shape) or not np.isfinite(values).all():
+                raise wrong(f"the {name} has another shape than its collection, or numbers that are not finite")
+            arrays[name] = values.reshape(shape).astype(np.float32) if name == "codebook" else values.reshape(shape)
+        if arrays["codebook"] is not None and not arrays["codebook"].any():
+            raise wrong("the codebook is all zeros")
+        # A later save at the same path replaces that folder, so a loaded collection works on its own copy; copying checks every record.
+        rows = self.spark.read.schema(row_schema(config.indexed_fields)).parquet(f"{path.rstrip('/')}/records")
+        copy = self._space.write(rows.withColumn("vector", _checked(rows, config, active, arrays["cells"])))
+        found = spark.read.parquet(copy).agg(F.count("*").alias("n"), F.count("id").alias("named"), F.count(F.when(F.col("vector").isNull() & F.col("code").isNull(), 1)).alias("empty"), F.coalesce(F.max("row_id"), F.lit(-1)).alias("row"), F.coalesce(F.max("seq"), F.lit(0)).alias("seq")).first()
+        if (found.n, found.named, found.empty) != (count, count, 0):
+            raise wrong(f"the records do not fit the manifest ({found.n} rows, {count} expected, {found.n - found.named} without an id, {found.empty} without a vector)")
+        if found.row >= max(row, 1) or found.seq > max(seq, 1):
+            raise wrong("a record's number lies beyond the manifest's counters")
+        self._state = State((Segment(copy, 0, row),) if count else (), (), 0, count, arrays["codebook"], active, calibration, arrays["cells"])
+        self._seq, self._row, self._generated, self._index_metadata = seq, row, generated, index_metadata
         return self
 
 
+def _checked(rows: DataFrame, config: Config, active: bool, cells: np.ndarray | None) -> Column:
+    """The vectors of rows, where reading them raises for one that is not a vector of the collection, or for a code or cell that cannot be."""
+    vector, code, cell = rows["vector"], rows["code"], rows["cell"]
+    wrong = F.when(vector.isNotNull(), vector_error(vector, config.dim))
+    if active:
+        wrong = F.coalesce(wrong, F.when(code.isNull() | (F.length(code) != config.quantization.subvectors), F.lit("a code of another length")))
+    if cells is not None:
+        wrong = F.coalesce(wrong, F.when((cell < 0) | (cell >= len(cells)), F.lit("a cell that is not there")))
+    return F.when(wrong.isNull(), vector).otherwise(F.raise_error(F.concat(F.lit("The records are damaged: "), wrong)).cast("array<float>"))
+
+
 HNSWIndex = Collection

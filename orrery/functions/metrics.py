@@ -70,6 +70,21 @@ def block_distances(space: str, queries: np.ndarray, rows: np.ndarray, unit: boo
     return np.maximum(0.0, 1 - np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0))
 
 
+def pair_distances(space: str, a: np.ndarray, b: np.ndarray, unit: bool = False) -> np.ndarray:
+    """The distance of each row of a to the same row of b, summed in an order that does not depend on how many rows there are."""
+    if space == "l1":
+        return np.abs(a - b).sum(1)
+    if space == "l2":
+        return np.sqrt(((a - b) ** 2).sum(1))
+    dots = (a * b).sum(1)
+    if space == "dot":
+        return 1 - dots
+    if unit:
+        return np.maximum(0.0, 1 - dots)
+    scale = np.sqrt((a**2).sum(1)) * np.sqrt((b**2).sum(1))
+    return np.maximum(0.0, 1 - np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0))
+
+
 def _squares(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Squared L2 distances by one matrix product; near pairs, where its digits cancel, are taken from the differences."""
     whole = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :]

@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.metrics import block_distances
-from .quantize import assign, kmeans
+from .quantize import assign, code_rows, kmeans, reconstruct_block
 
 #: Vectors that cell centres are fitted on at most.
 SAMPLE = 50_000
@@ -25,6 +28,20 @@ def fit_cells(sample: np.ndarray, cells: int, seed: int = 42) -> np.ndarray:
     return kmeans(x, min(cells, len(x)), seed)
 
 
+def fit_cells_in_task(sample: DataFrame, cells: int, codebook: np.ndarray | None = None) -> np.ndarray:
+    """fit_cells() in one task over a bounded sample (seq, vector, or code where that is null), so that the driver holds the centres only."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("seq")
+        column = group.column("vector").combine_chunks()
+        x = reconstruct_block(code_rows(group.column("code").combine_chunks()), codebook) if column.null_count else column.flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        centres = fit_cells(x, cells)
+        return pa.table({"place": pa.array(range(len(centres)), pa.int32()), "centre": pa.array(centres.tolist(), pa.list_(pa.float64()))})
+
+    found = sample.select(F.lit(0).alias("all"), "seq", "vector", "code").groupBy("all").applyInArrow(run, "place int, centre array<double>").collect()
+    return np.array([r.centre for r in sorted(found, key=lambda r: r.place)])
+
+
 def probes(queries: np.ndarray, centres: np.ndarray, ef: int, n: int) -> np.ndarray:
     """For each query the cells that it reads (bool): the nearest, as many as hold about ``ef`` vectors, at least one."""
     each = min(len(centres), max(1, math.ceil(ef / max(1.0, n / len(centres)))))
@@ -66,4 +83,4 @@ def calibrate_probes(space: str, sample: np.ndarray, centres: np.ndarray, k: int
     return int(places[math.ceil(RECALL * len(places)) - 1]) + 1
 
 
-__all__ = ["assign", "calibrate_probes", "cell_count", "fit_cells", "nearest_cells", "probes"]
+__all__ = ["assign", "calibrate_probes", "cell_count", "fit_cells", "fit_cells_in_task", "nearest_cells", "probes"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ class Calibration:
     exponent: float
     fit_fetches: list[int]
     page_fetches: list[int]
+    page_exponent: float = 0.0
+    millis: int = 0
 
     def to_json(self) -> dict:
         return asdict(self)
@@ -39,7 +42,7 @@ def fetch_count(k: int, n: int, factor: int | None, calibration: Calibration | N
     if calibration is None:
         return min(max(n // 50, lowest), most)
     grown = HEADROOM * calibration.fetch * (n / max(1, calibration.records)) ** calibration.exponent * page_scale(k, calibration)
-    return min(min(max(math.ceil(grown), lowest), max(n // SHARE, lowest)), most)
+    return min(min(max(math.floor(grown + 0.5), lowest), max(n // SHARE, lowest)), most)
 
 
 def page_scale(k: int, calibration: Calibration) -> float:
@@ -71,7 +74,7 @@ def _needed(space: str, vectors: np.ndarray, codes: np.ndarray, codebook: np.nda
 
 def calibrate(space: str, vectors: np.ndarray, codebook: np.ndarray) -> Calibration | None:
     """Measure the fetch on the bounded training sample (in arrival order), and how it grows with the records."""
-    n = len(vectors)
+    began, n = time.perf_counter(), len(vectors)
     if n < 2:
         return None
     codes = encode_block(vectors, codebook)
@@ -80,4 +83,5 @@ def calibrate(space: str, vectors: np.ndarray, codebook: np.ndarray) -> Calibrat
     fits = [_needed(space, x[: int(n * f)], codes[: int(n * f)], codebook, queries, min(10, int(n * f))) for f in FRACTIONS]
     slope = float(np.polyfit(np.log([n * f for f in FRACTIONS]), np.log(fits), 1)[0])
     pages = [_needed(space, x, codes, codebook, queries, min(p, n)) for p in PAGES]
-    return Calibration(fits[-1], n, len(queries), min(max(slope + EXPONENT_MARGIN, EXPONENT_RANGE[0]), EXPONENT_RANGE[1]), fits, pages)
+    growth = float(np.polyfit(np.log(PAGES), np.log(pages), 1)[0])
+    return Calibration(fits[-1], n, len(queries), min(max(slope + EXPONENT_MARGIN, EXPONENT_RANGE[0]), EXPONENT_RANGE[1]), fits, pages, min(max(growth, 0.0), 1.0), int(1_000 * (time.perf_counter() - began)))

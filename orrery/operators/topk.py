@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
 
@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import block_distances, distance
+from ..functions.metrics import block_distances, distance, pair_distances
 
 #: Queries that are broadcast at once; more are answered block by block.
 QUERY_BLOCK = 4096
 #: Cells of a distance matrix that a task holds at once.
 CELLS = 4_000_000
+#: Pairs whose exact distances are taken at once, and how far scores of blocks may be off, relatively.
+PAIRS, NOISE = 20_000, 1e-9
 
 
 def best(scored: DataFrame, k: int, digits: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -36,19 +38,27 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
 
 
 class Pool:
-    """Running best of a block of queries: candidates no worse than each query's k-th, ties included."""
+    """Running best of a block of queries: candidates no worse than each query's k-th, ties included.
+
+    Scores of a block of rows come from matrix products, whose last digits depend on the block's shape; those of candidates are
+    summed once more, pair by pair (``exactly``), so that a page does not depend on how rows lie in files.
+    """
 
     def __init__(self, n: int, k: int, slack: float):
         self.k, self.slack = k, slack
         self.bar = np.full(n, np.inf)
         self.held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
 
-    def add(self, scores: np.ndarray, rows: np.ndarray) -> None:
-        """scores: queries x rows (infinite: not a candidate); rows: their numbers."""
+    def _limit(self) -> np.ndarray:
+        return self.bar + self.slack + NOISE * (1 + np.abs(self.bar))
+
+    def add(self, scores: np.ndarray, rows: np.ndarray, exactly: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
+        """scores: queries x rows (infinite: not a candidate); rows: their numbers; exactly: scores of single pairs."""
         if scores.shape[1] > self.k:
             self.bar = np.minimum(self.bar, np.partition(scores, self.k - 1, axis=1)[:, self.k - 1])
-        q, c = np.nonzero((scores <= self.bar[:, None] + self.slack) & np.isfinite(scores))
-        self.held = tuple(np.concatenate(x) for x in zip(self.held, (q, scores[q, c], rows[c]), strict=True))
+        q, c = np.nonzero((scores <= self._limit()[:, None]) & np.isfinite(scores))
+        found = exactly(q, c) if exactly and len(q) else scores[q, c]
+        self.held = tuple(np.concatenate(x) for x in zip(self.held, (q, found, rows[c]), strict=True))
         if len(self.held[0]) > 4 * self.k * len(self.bar) + 10_000:
             self.prune()
 
@@ -60,7 +70,7 @@ class Pool:
         place = np.arange(len(q)) - first[q]
         at = q[place == self.k - 1]
         self.bar[at] = np.minimum(self.bar[at], s[place == self.k - 1])
-        stay = s <= self.bar[q] + self.slack
+        stay = s <= self._limit()[q]
         self.held = q[stay], s[stay], r[stay]
 
 
@@ -75,9 +85,16 @@ class Exact:
     def __len__(self) -> int:
         return len(self.matrix)
 
+    def _values(self, batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
-        values = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-        return block_distances(self.space, self.matrix, values, self.unit)
+        return block_distances(self.space, self.matrix, self._values(batch), self.unit)
+
+    def exactly(self, batch: pa.RecordBatch, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        values = self._values(batch)
+        parts = [pair_distances(self.space, self.matrix[q[i : i + PAIRS]], values[c[i : i + PAIRS]], self.unit) for i in range(0, len(q), PAIRS)]
+        return np.concatenate(parts)
 
 
 class Probed:
@@ -92,6 +109,9 @@ class Probed:
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
         return np.where(self.probes[:, batch.column("cell").to_numpy()], self.scorer.scores(batch), np.inf)
 
+    def exactly(self, batch: pa.RecordBatch, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.scorer.exactly(batch, q, c)
+
 
 def scored_topk(rows: DataFrame, ids: list, scorer: Exact, k: int, qid: str, digits: int | None = None) -> DataFrame:
     """qid, rank, id, score of a block of queries (ids, in the scorer's order) by any scorer over the rows' columns that it names."""
@@ -103,10 +123,12 @@ def scored_topk(rows: DataFrame, ids: list, scorer: Exact, k: int, qid: str, dig
         ids, scorer = shared.value
         pool, seen, start = Pool(len(ids), k, slack), [], 0
         step = max(1, CELLS // max(1, len(ids)))
+        refined = isinstance(scorer.scorer if isinstance(scorer, Probed) else scorer, Exact)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                pool.add(scorer.scores(part), np.arange(start, start + part.num_rows))
+                exactly = (lambda q, c, part=part: scorer.exactly(part, q, c)) if refined else None
+                pool.add(scorer.scores(part), np.arange(start, start + part.num_rows), exactly)
                 seen.append(part.column("id"))
                 start += part.num_rows
         pool.prune()

@@ -90,7 +90,7 @@ def check_quantization(given: Any, dim: int, space: str, expected_size: int) ->
     if given is None:
         return None
     if not isinstance(given, dict):
-        raise ValueError("quantization_config must be a dictionary")
+        raise ValueError("quantization_config takes a mapping of its settings")
     kind = str(given.get("type", "")).lower()
     if kind != "pq":
         raise ValueError(f"Unsupported quantization type: '{kind}'. Currently only 'pq' is supported.")
@@ -111,7 +111,7 @@ def check_quantization(given: Any, dim: int, space: str, expected_size: int) ->
         raise ValueError(f"bits must be an integer between 1 and 8, got {bits}")
     training = given.get("training_size") or default_training_size(bits)
     if isinstance(training, bool) or not isinstance(training, int) or training < 1000:
-        raise ValueError(f"training_size must be at least 1000 for stable k-means clustering, got {training}")
+        raise ValueError(f"training_size must be at least 1000 (centroids need that many to be well placed), got {training}")
     most = given.get("max_training_vectors")
     if most is not None and most < training:
         raise ValueError(f"max_training_vectors ({most}) must be >= training_size ({training})")

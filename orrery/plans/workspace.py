@@ -12,7 +12,9 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if base is None:  # a local session that names no shared folder
+        if base is None:  # only a session on one machine may do without a shared folder
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="orrery-")
             spark.sparkContext.setCheckpointDir(base)
         self.base = f"{base.rstrip('/')}/orrery-collection-{uuid.uuid4().hex}"

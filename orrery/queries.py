@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -109,30 +110,38 @@ for _name, (_table, _wanted, _sql, _columns) in FILTERS.items():
 
 
 def typed_parts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").withColumn("words", F.split("p_type", " "))
+    """Parts with the words of their names, two each."""
+    return table(spark, d, "part").withColumn("words", F.split("p_name", " "))
 
 
 PART_SQL = "SELECT p_partkey FROM part WHERE {}"
-query("filter_any", PART_SQL.format("list_has_any(string_split(p_type, ' '), ['STEEL', 'TIN', 'ECONOMY'])"))(lambda spark, d: where(typed_parts(spark, d), {"words": {"any": ["STEEL", "TIN", "ECONOMY"]}}).select("p_partkey"))
-query("filter_all", PART_SQL.format("list_has_all(string_split(p_type, ' '), ['STEEL', 'ECONOMY'])"))(lambda spark, d: where(typed_parts(spark, d), {"words": {"all": ["STEEL", "ECONOMY"]}}).select("p_partkey"))
-query("filter_array_contains", PART_SQL.format("list_contains(string_split(p_type, ' '), 'BRASS')"))(lambda spark, d: where(typed_parts(spark, d), {"words": {"contains": "BRASS"}}).select("p_partkey"))
+query("filter_any", PART_SQL.format("list_has_any(string_split(p_name, ' '), ['red', 'gear', 'none'])"))(lambda spark, d: where(typed_parts(spark, d), {"words": {"any": ["red", "gear", "none"]}}).select("p_partkey"))
+query("filter_all", PART_SQL.format("list_has_all(string_split(p_name, ' '), ['red', 'gear'])"))(lambda spark, d: where(typed_parts(spark, d), {"words": {"all": ["red", "gear"]}}).select("p_partkey"))
+query("filter_array_contains", PART_SQL.format("list_contains(string_split(p_name, ' '), 'bolt')"))(lambda spark, d: where(typed_parts(spark, d), {"words": {"contains": "bolt"}}).select("p_partkey"))
 query("filter_missing", "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR l.quality <> 1")(
     lambda spark, d: where(table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left"), {"$or": [{"quality": {"is_missing": True}}, {"quality": {"ne": 1}}]}).select("doc_id")
 )
 
 
+#: Events, of which every third has no key at all and every fifth of the others a null.
+EVENTS_SQL = """SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{}' WHEN event_id % 5 = 0 THEN '{"k": null}' ELSE props END AS props FROM events) WHERE """
+
+
 def _events(spark: SparkSession, d: str, wanted: dict) -> DataFrame:
-    return table(spark, d, "events").filter(bound_condition(parse(wanted), lambda n: json_field(F.col("props"), n))).select("event_id")
+    props = F.when(F.col("event_id") % 3 == 0, F.lit("{}")).when(F.col("event_id") % 5 == 0, F.lit('{"k": null}')).otherwise(F.col("props"))
+    events = table(spark, d, "events").withColumn("props", props)
+    return events.filter(bound_condition(parse(wanted), lambda n: json_field(F.col("props"), n))).select("event_id")
 
 
 for _name, _wanted, _sql in (
     ("json_range", {"k": {"gte": 20, "lt": 60.5}}, "json_extract(props, '$.k')::DOUBLE >= 20 AND json_extract(props, '$.k')::DOUBLE < 60.5"),
     ("json_exists", {"k": {"exists": True}}, "json_extract(props, '$.k') IS NOT NULL"),
-    ("json_is_missing", {"z": {"is_missing": True}}, "json_extract(props, '$.z') IS NULL"),
+    ("json_is_missing", {"k": {"is_missing": True}}, "json_extract(props, '$.k') IS NULL"),
+    ("json_is_null", {"k": {"is_null": True}}, "json_type(props, '$.k') = 'NULL'"),
     ("json_not_null", {"k": {"is_null": False}}, "coalesce(json_type(props, '$.k'), 'x') <> 'NULL'"),
     ("json_equal", {"k": {"in": [1, 2.0, "3"]}}, "json_extract(props, '$.k')::DOUBLE IN (1, 2)"),
 ):
-    query(f"filter_{_name}", f"SELECT event_id FROM events WHERE {_sql}")(lambda spark, d, w=_wanted: _events(spark, d, w))
+    query(f"filter_{_name}", EVENTS_SQL + _sql)(lambda spark, d, w=_wanted: _events(spark, d, w))
 
 
 @query("normalise", "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm FROM embeddings")
@@ -210,6 +219,60 @@ def q_delete(spark: SparkSession, d: str) -> DataFrame:
     return _left(index)
 
 
+@query("add_without_overwrite", "SELECT c_custkey AS id, round(c_acctbal::FLOAT::DOUBLE, 2) AS second, c_mktsegment AS segment FROM customer UNION ALL SELECT -c_custkey, 1, 'NEW' FROM customer WHERE c_custkey % 4 = 0")
+def q_add_new(spark: SparkSession, d: str) -> DataFrame:
+    index = _customers(spark, d)
+    key = F.col("c_custkey").cast("string")
+    fresh = table(spark, d, "customer").filter("c_custkey % 4 = 0").select(F.explode(F.array(key, F.concat(F.lit("-"), key))).alias("id"), F.array(F.lit(0.0), F.lit(1.0)).alias("vector"), F.lit('{"c_mktsegment": "NEW"}').alias("metadata"))
+    index.add_frame(fresh, overwrite=False)
+    return _left(index)
+
+
+@query("clear_and_add", "SELECT c_custkey AS id, round(c_acctbal::FLOAT::DOUBLE, 2) AS second, NULL::VARCHAR AS segment FROM customer WHERE c_custkey % 6 = 0")
+def q_clear(spark: SparkSession, d: str) -> DataFrame:
+    index = _customers(spark, d)
+    index.clear()
+    index.add_frame(table(spark, d, "customer").filter("c_custkey % 6 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.array(F.lit(0.0).cast("float"), F.col("c_acctbal").cast("float")).alias("vector")))
+    return _left(index)
+
+
+@query("contains", "SELECT k::VARCHAR AS id, k IN (SELECT c_custkey FROM customer WHERE c_custkey <> 4) AS there FROM (VALUES (3), (4), (100), (-1)) v(k)")
+def q_contains(spark: SparkSession, d: str) -> DataFrame:
+    index = _customers(spark, d)
+    index.remove_point("4")
+    return spark.createDataFrame([(i, i in index) for i in ("3", "4", "100", "-1")], "id string, there boolean")
+
+
+@query("remove_points", "SELECT c_custkey AS id, round(c_acctbal::FLOAT::DOUBLE, 2) AS second, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey >= 120 UNION ALL SELECT -k, 0, 'MISSING' FROM range(1, 4) r(k)")
+def q_remove_points(spark: SparkSession, d: str) -> DataFrame:
+    index = _customers(spark, d)
+    missing = index.remove_points([str(k) for k in range(0, 120, 3)] + ["-1", "-2", "-3", "-2"])
+    return _left(index).unionByName(spark.createDataFrame([(int(i), 0.0, "MISSING") for i in missing], "id long, second double, segment string"))
+
+
+#: Customers whose segment every fourth lacks and every fifth of the others has as null, declared and not.
+_PRESENCE = """
+WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'missing' WHEN c_custkey % 5 = 0 THEN 'null' ELSE c_mktsegment END AS s FROM customer),
+w(condition, id) AS (
+  SELECT 'exists', id FROM c WHERE s <> 'missing' UNION ALL SELECT 'is_missing', id FROM c WHERE s = 'missing' UNION ALL SELECT 'is_null', id FROM c WHERE s = 'null'
+  UNION ALL SELECT 'not_null', id FROM c WHERE s <> 'null' UNION ALL SELECT 'ne', id FROM c WHERE s NOT IN ('missing', 'BUILDING'))
+SELECT condition, id FROM w"""
+
+
+def _presence(spark: SparkSession, d: str, **more: object) -> DataFrame:
+    from .database import VectorDatabase
+
+    segment = F.when(F.col("c_custkey") % 4 == 0, F.lit("{}")).when(F.col("c_custkey") % 5 == 0, F.lit('{"s": null}')).otherwise(F.to_json(F.struct(F.col("c_mktsegment").alias("s"))))
+    index = VectorDatabase(spark).create(dim=1, space="l2", **more)
+    index.add_frame(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.array(F.lit(1.0)).alias("vector"), segment.alias("metadata")))
+    found = [({"exists": True}, "exists"), ({"is_missing": True}, "is_missing"), ({"is_null": True}, "is_null"), ({"is_null": False}, "not_null"), ({"ne": "BUILDING"}, "ne")]
+    return reduce(DataFrame.union, [index.frame({"s": wanted}).select(F.lit(name).alias("condition"), F.col("id").cast("long").alias("id")) for wanted, name in found])
+
+
+query("presence_declared", _PRESENCE)(lambda spark, d: _presence(spark, d, indexed_fields=["s"]))
+query("presence_undeclared", _PRESENCE)(lambda spark, d: _presence(spark, d))
+
+
 @query("save_and_load", "SELECT c_custkey AS id, round(c_acctbal::FLOAT::DOUBLE, 2) AS second, c_mktsegment AS segment FROM customer")
 def q_save(spark: SparkSession, d: str) -> DataFrame:
     from .database import VectorDatabase
@@ -399,8 +462,19 @@ QUERIES["flagship"] = flagship
 ORACLES["flagship"] = _topk_sql("cosine", rows="label IN (0, 1, 2)", queries="vec_id < 20").replace("rank, id, score FROM d", "rank, id AS vec_id, score FROM d")
 
 
-@query("neighbour_lists")
+@query("neighbour_lists", f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+d AS (SELECT a.vec_id AS qid, b.vec_id AS id, b.e AS e, {_distance_sql("cosine").replace("q, e", "a.e, b.e").replace("q, q", "a.e, a.e").replace("e, e)", "b.e, b.e)")} AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS n FROM d QUALIFY n <= 40),
+before AS (SELECT x.qid, x.n, list(y.n) AS nearer FROM near x JOIN near y ON x.qid = y.qid AND y.n < x.n AND {_distance_sql("cosine").replace("q, e", "x.e, y.e").replace("q, q", "x.e, x.e").replace("e, e)", "y.e, y.e)")} < x.score GROUP BY x.qid, x.n),
+pick(qid, n, kept) AS (
+  SELECT DISTINCT qid, 0::BIGINT, []::BIGINT[] FROM near
+  UNION ALL
+  SELECT p.qid, c.n, CASE WHEN len(kept) < 16 AND NOT list_has_any(kept, coalesce(nearer, [])) THEN list_append(kept, c.n) ELSE kept END
+  FROM pick p JOIN near c ON c.qid = p.qid AND c.n = p.n + 1 LEFT JOIN before b ON b.qid = c.qid AND b.n = c.n),
+last AS (SELECT qid, unnest(kept) AS n, unnest(range(1, len(kept) + 1)) AS place FROM pick QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pick.n DESC) = 1)
+SELECT qid, id, round(score, {DIGITS}) + 0.0 AS score, place::INTEGER AS place FROM last JOIN near USING (qid, n)""")
 def q_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Diverse neighbour lists of the stated query set."""
     rows = vectors(spark, d)
-    return neighbour_lists(rows, asked(rows), "cosine", 40, 16)
+    return neighbour_lists(rows, asked(rows), "cosine", 40, 16).withColumn("score", F.round("score", DIGITS) + F.lit(0.0))

@@ -101,7 +101,7 @@ def _mapping(data: dict, dim: int) -> tuple[list[Record], list[str]]:
     if not plural:
         vector = _first(data, "values", "vector")
         if vector is None:
-            raise ValueError("Missing vector data. Expected one of: 'vectors', 'embeddings', or 'values' key")
+            raise ValueError("There is no vector: give one as 'values' or 'vector', several as 'vectors' or 'embeddings'")
         name = data.get("id")
         return _one(name if isinstance(name, str) else None, vector, _metadata(data.get("metadata"), False), dim)
     ids, metadatas = data.get("ids"), _first(data, "metadatas", "metadata")
@@ -109,8 +109,10 @@ def _mapping(data: dict, dim: int) -> tuple[list[Record], list[str]]:
         raise TypeError("ids must be a list of strings")
     if not isinstance(metadatas, (list, tuple)):
         metadatas = None
-    if vectors is None or isinstance(vectors, (str, dict)):
-        raise ValueError("values field must be a list in batch format")
+    if vectors is None:
+        return [], ["Missing vector data: several vectors come as 'vectors', 'embeddings' or 'values'"]
+    if isinstance(vectors, (str, dict)):
+        raise ValueError("Several vectors come as a list or a matrix")
     for word, other in (("ids", ids), ("metadatas", metadatas)):
         if other is not None and len(other) != len(vectors):
             raise ValueError(f"{len(vectors)} vectors but {len(other)} {word}")
@@ -129,7 +131,7 @@ def _mapping(data: dict, dim: int) -> tuple[list[Record], list[str]]:
 
 def _matrix(matrix: np.ndarray, ids: Any, metadatas: Any, dim: int) -> tuple[list[Record], list[str]]:
     if matrix.ndim != 2 or matrix.shape[1] != dim:
-        return [], [f"NumPy parsing error: NumPy array must have shape (N, {dim}), got {list(matrix.shape)}"]
+        return [], [f"The matrix must have {dim} columns, its shape is {list(matrix.shape)}"]
     good: list[Record] = []
     errors = []
     for i, row in enumerate(matrix):
@@ -151,7 +153,7 @@ def _objects(data: list | tuple, dim: int) -> tuple[list[Record], list[str]]:
             name = item.get("id") if isinstance(item.get("id"), str) else None
             vector, metadata = _first(item, "vector", "values"), _metadata(item.get("metadata"), True)
             if vector is None:
-                errors.append(f"Item {i}: Missing vector")
+                errors.append(f"Item {i}: Missing vector data")
                 continue
         try:
             good.append((name, check_vector(vector, dim), metadata))

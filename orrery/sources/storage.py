@@ -62,15 +62,18 @@ def digests(spark: SparkSession, path: str, names: list[str]) -> dict[str, list]
     return found
 
 
-def save(spark: SparkSession, path: str, tables: dict[str, DataFrame], manifest: dict[str, Any]) -> None:
-    """Write everything beside the target, the manifest last, then swap folders: a reader finds the old or the new one whole."""
+def save(spark: SparkSession, path: str, tables: dict[str, DataFrame], manifest: dict[str, Any], rows_a_file: int = 100_000) -> None:
+    """Write everything beside the target, the manifest last, then swap folders: a reader finds the old or the new one whole.
+
+    Files hold so many rows at most, as a digest is taken of a whole file in a task's memory.
+    """
     folder = Folder(spark)
     path = path.rstrip("/")
     staging, old = f"{path}.staging-{uuid.uuid4().hex}", f"{path}.old"
     repair(spark, path)
     try:
         for name, df in tables.items():
-            df.write.parquet(f"{staging}/{name}")
+            df.write.option("maxRecordsPerFile", rows_a_file).parquet(f"{staging}/{name}")
         folder.write(f"{staging}/{MANIFEST}", json.dumps(manifest | {"format_version": VERSION, "tables": sorted(tables), "files": digests(spark, staging, sorted(tables))}))
         if folder.exists(path):
             folder.rename(path, old)
@@ -105,6 +108,8 @@ def load(spark: SparkSession, path: str) -> tuple[dict[str, Any], dict[str, Data
         version, files, names = str(manifest["format_version"]), manifest["files"], manifest["tables"]
     except (ValueError, KeyError, TypeError) as e:
         raise ValueError(f"{path}/{MANIFEST} cannot be read: {e}") from e
+    if not isinstance(files, dict) or not isinstance(names, list) or not all(isinstance(n, str) and n.isidentifier() for n in names) or "records" not in names:
+        raise ValueError(f"{path}/{MANIFEST} cannot be read: its tables or files are not as they must be")
     if version.split(".")[0] != VERSION.split(".")[0]:
         raise ValueError(f"Format version {version} cannot be read; this reads {VERSION.split('.')[0]}.x")
     for name in names:
