@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.filters import StoredField, always, condition, names, parse
+from .functions.filters import StoredField, always, bound, condition, names, parse, selection
 from .functions.metrics import distance, vector_error
 from .functions.values import stored
-from .operators.ivf import SAMPLE, cell_count, fit_cells_in_task, probes
+from .operators.ivf import PAGES, SAMPLE, cell_count, fit_cells_in_task, probes
 from .operators.quantize import AsymmetricDistance, ReconstructedDistance, assign, code_rows, encode_block, reconstruct_block, train
 from .operators.rerank import Calibration, calibrate, fetch_count
 from .operators.topk import QUERY_BLOCK, Exact, Probed, best, scored_topk
@@ -67,6 +67,7 @@ class State:
     active: bool = False
     calibration: Calibration | None = None
     cells: np.ndarray | None = None
+    probes: tuple[int, ...] = ()
 
 
 def exclusive(method: Callable) -> Callable:
@@ -139,7 +140,25 @@ class Collection:
         if self.config.indexed_fields and not self._warned and (other := names(node) - set(self.config.indexed_fields)):
             self._warned = True
             log.warning("Filter on undeclared field(s) %s reads every record's metadata; declare them in indexed_fields", sorted(other))
-        return rows.filter(condition(node, lambda name: self._field(rows, name))), True
+        known = set(self.config.indexed_fields)
+        found = rows
+        if known and selection(node, known) == "narrowed":
+            # What declared fields alone rule out, as a condition of its own that reaches the scan; Catalyst draws it from an AND only.
+            found = found.filter(condition(bound(node, known, True), lambda name: self._field(rows, name)))
+        return found.filter(condition(node, lambda name: self._field(rows, name))), True
+
+    def explain_filter(self, filter: Mapping | None) -> dict[str, Any]:
+        """What a filter reads: "selection" (exact, narrowed or whole, by declared fields alone), "declared" and "undeclared" fields."""
+        node, known = parse(filter), set(self.config.indexed_fields)
+        return {"selection": selection(node, known), "declared": sorted(names(node) & known), "undeclared": sorted(names(node) - known)}
+
+    def count_bounds(self, filter: Mapping | None) -> tuple[int, int]:
+        """The fewest and the most records that can match, from declared fields alone: metadata of other fields is not read."""
+        node, known, state = parse(filter), set(self.config.indexed_fields), self._state
+        rows = self._rows(state)
+        holds = [condition(bound(node, known, upper), lambda name: self._field(rows, name)) for upper in (False, True)]
+        low, high = rows.agg(*(F.count(F.when(h, 1)) for h in holds)).first()
+        return low, high
 
     def frame(self, filter: Mapping | None = None) -> DataFrame:
         """id, seq, vector, json of the records that match, as a DataFrame."""
@@ -309,7 +328,8 @@ class Collection:
     def search_matrix(self, queries: np.ndarray, filter: Mapping | None = None, top_k: int = 10, ef_search: int | None = None, rerank: int | None = None) -> DataFrame | None:
         """qid (row of the matrix), rank, id, score as a DataFrame; None for an empty page.
 
-        Exact over the matching records, unless cells were built (rebuild()) and ef_search is below the record count. A
+        Exact over the matching records, unless cells were built (rebuild()) and ef_search is below the record count: then a query
+        reads as many cells as hold ef_search vectors, but no fewer than held 95 % of the neighbours of a sample. A
         quantised collection scores codes (squared L2), rescores a calibrated number of candidates on raw vectors where it keeps
         them, and scores a filter's matches, up to EXACT_MATCHES, by the raw metric; so the scale of its scores depends on how many
         records the filter leaves.
@@ -340,7 +360,7 @@ class Collection:
 
         def run(scorer: Any, rows: DataFrame, k: int) -> DataFrame:
             if near:
-                mask = probes(part, state.cells, ef, state.count)
+                mask = probes(part, state.cells, ef, state.count, state.probes, k)
                 rows = rows.filter(F.col("cell").isin([int(c) for c in np.flatnonzero(mask.any(0))]))
                 scorer = Probed(scorer, mask)
             return scored_topk(rows, ids, scorer, k, "long")
@@ -481,7 +501,7 @@ class Collection:
     def clear(self) -> int:
         """Remove every record; configuration, index metadata and a trained codebook stay, generated ids are not issued again."""
         n, self._seq = self._state.count, 0
-        self._state = replace(self._state, segments=(), dead=(), stranded=0, count=0, cells=None)
+        self._state = replace(self._state, segments=(), dead=(), stranded=0, count=0, cells=None, probes=())
         return n
 
     @exclusive
@@ -524,7 +544,7 @@ class Collection:
             return 0
         rows = self._rows(state)
         sample = rows.orderBy(F.xxhash64("seq")).limit(SAMPLE).select("seq", "vector", "code")
-        cells = fit_cells_in_task(sample, cell_count(state.count, self.config.m), state.codebook)
+        cells, needed = fit_cells_in_task(sample, cell_count(state.count, self.config.m), self.space, state.codebook)
         shared = self.spark.sparkContext.broadcast((cells, state.codebook))
 
         def run(batches: Any) -> Any:
@@ -537,7 +557,7 @@ class Collection:
                     yield batch.set_column(at, "cell", pa.array(assign(np.asarray(x, float), cells)[0].astype(np.int32)))
 
         placed = rows.mapInArrow(run, rows.schema)
-        self._state = self._rewritten(placed.repartitionByRange("cell").sortWithinPartitions("cell"), cells=cells)
+        self._state = self._rewritten(placed.repartitionByRange("cell").sortWithinPartitions("cell"), cells=cells, probes=tuple(needed))
         return state.count
 
     def shrink_to_fit(self) -> int:
@@ -631,7 +651,7 @@ class Collection:
         if q.max_training_vectors is not None:
             info["max_training_vectors"] = q.max_training_vectors
         if self._state.codebook is not None:
-            info["memory_mb"] = fixed_bytes(self.dim, q.subvectors, q.bits) / 2**20
+            info |= {"memory_mb": fixed_bytes(self.dim, q.subvectors, q.bits) / 2**20, "total_centroids": q.subvectors * q.centroids, "sdc_memory_mb": 4 * q.subvectors * math.comb(q.centroids, 2) / 2**20}
         return info
 
     # -- introspection ---------------------------------------------------------------------------------------------
@@ -699,7 +719,7 @@ class Collection:
             state, q = self._state, self.config.quantization
             manifest = {
                 "config": asdict(self.config), "count": state.count, "seq": self._seq, "row": self._row, "generated": self._generated, "index_metadata": dict(self._index_metadata), "active": state.active,
-                "calibration": state.calibration.to_json() if state.calibration else None, "has_quantization": q is not None,
+                "calibration": state.calibration.to_json() if state.calibration else None, "has_quantization": q is not None, "probes": list(state.probes),
             }
         tables = {"records": self._rows(state)}
         for name, array in (("codebook", state.codebook), ("cells", state.cells)):
@@ -737,6 +757,9 @@ class Collection:
             if not fits or values.size != math.prod(shape) or not np.isfinite(values).all():
                 raise wrong(f"the {name} has another shape than its collection, or numbers that are not finite")
             arrays[name] = values.reshape(shape).astype(np.float32) if name == "codebook" else values.reshape(shape)
+        needed = manifest.get("probes", [])
+        if arrays["cells"] is not None and not (isinstance(needed, list) and len(needed) in (0, len(PAGES)) and all(isinstance(n, int) and 0 < n <= len(arrays["cells"]) for n in needed)):
+            raise wrong("the probes do not fit the cells")
         if arrays["codebook"] is not None and not arrays["codebook"].any():
             raise wrong("the codebook is all zeros")
         # A later save at the same path replaces that folder, so a loaded collection works on its own copy; copying checks every record.
@@ -747,7 +770,7 @@ class Collection:
             raise wrong(f"the records do not fit the manifest ({found.n} rows, {count} expected, {found.n - found.named} without an id, {found.empty} without a vector)")
         if found.row >= max(row, 1) or found.seq > max(seq, 1):
             raise wrong("a record's number lies beyond the manifest's counters")
-        self._state = State((Segment(copy, 0, row),) if count else (), (), 0, count, arrays["codebook"], active, calibration, arrays["cells"])
+        self._state = State((Segment(copy, 0, row),) if count else (), (), 0, count, arrays["codebook"], active, calibration, arrays["cells"], tuple(needed))
         self._seq, self._row, self._generated, self._index_metadata = seq, row, generated, index_metadata
         return self
 

@@ -96,6 +96,32 @@ def names(node: Node) -> set[str]:
     return set().union(*map(names, node[1])) if node[0] in ("and", "or") else {node[1]}
 
 
+TRUE, FALSE = ("and", []), ("or", [])
+
+
+def bound(node: Node, known: set[str], upper: bool) -> Node:
+    """What the known fields alone say of a tree: a tree over them that holds wherever the whole one does (upper), or only there (lower).
+
+    An unknown leaf may hold or not, so it counts as true in the upper and as false in the lower bound; a negation swaps the two.
+    """
+    kind = node[0]
+    if kind == "not":
+        inner = bound(node[1], known, not upper)
+        return FALSE if inner == TRUE else TRUE if inner == FALSE else ("not", inner)
+    if kind not in ("and", "or"):
+        return node if node[1] in known else TRUE if upper else FALSE
+    stop, skip = (FALSE, TRUE) if kind == "and" else (TRUE, FALSE)
+    parts = [p for p in (bound(n, known, upper) for n in node[1]) if p != skip]
+    return stop if stop in parts else parts[0] if len(parts) == 1 else (kind, parts)
+
+
+def selection(node: Node, known: set[str]) -> str:
+    """How far the known fields decide a tree: "exact" (wholly), "narrowed" (they rule some records out) or "whole" (not at all)."""
+    if names(node) <= known:
+        return "exact"
+    return "whole" if bound(node, known, True) == TRUE else "narrowed"
+
+
 class StoredField:
     """A field in the column form of values.FIELD; a null column is a missing field."""
 

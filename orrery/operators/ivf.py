@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from .quantize import assign, code_rows, kmeans, reconstruct_block
 SAMPLE = 50_000
 #: The share of true neighbours that calibrated probes find in the sample, and sample vectors that are asked at most.
 RECALL, QUERIES = 0.95, 512
+#: Page lengths that probes are calibrated for.
+PAGES = (10, 100)
 
 
 def cell_count(n: int, m: int) -> int:
@@ -28,24 +31,29 @@ def fit_cells(sample: np.ndarray, cells: int, seed: int = 42) -> np.ndarray:
     return kmeans(x, min(cells, len(x)), seed)
 
 
-def fit_cells_in_task(sample: DataFrame, cells: int, codebook: np.ndarray | None = None) -> np.ndarray:
-    """fit_cells() in one task over a bounded sample (seq, vector, or code where that is null), so that the driver holds the centres only."""
+def fit_cells_in_task(sample: DataFrame, cells: int, space: str, codebook: np.ndarray | None = None) -> tuple[np.ndarray, list[int]]:
+    """fit_cells() and calibrate_probes() for each of PAGES, in one task over a bounded sample (seq, vector, or code where that is null).
+
+    The driver holds the centres and those numbers only.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("seq")
         column = group.column("vector").combine_chunks()
         x = reconstruct_block(code_rows(group.column("code").combine_chunks()), codebook) if column.null_count else column.flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
         centres = fit_cells(x, cells)
-        return pa.table({"place": pa.array(range(len(centres)), pa.int32()), "centre": pa.array(centres.tolist(), pa.list_(pa.float64()))})
+        rows = [*centres.tolist(), [float(calibrate_probes(space, x, centres, k)) for k in PAGES]]
+        return pa.table({"place": pa.array(range(len(rows)), pa.int32()), "numbers": pa.array(rows, pa.list_(pa.float64()))})
 
-    found = sample.select(F.lit(0).alias("all"), "seq", "vector", "code").groupBy("all").applyInArrow(run, "place int, centre array<double>").collect()
-    return np.array([r.centre for r in sorted(found, key=lambda r: r.place)])
+    found = sample.select(F.lit(0).alias("all"), "seq", "vector", "code").groupBy("all").applyInArrow(run, "place int, numbers array<double>").collect()
+    *centres, needed = [r.numbers for r in sorted(found, key=lambda r: r.place)]
+    return np.array(centres), [int(n) for n in needed]
 
 
-def probes(queries: np.ndarray, centres: np.ndarray, ef: int, n: int) -> np.ndarray:
-    """For each query the cells that it reads (bool): the nearest, as many as hold about ``ef`` vectors, at least one."""
-    each = min(len(centres), max(1, math.ceil(ef / max(1.0, n / len(centres)))))
-    return nearest_cells(queries, centres, each)
+def probes(queries: np.ndarray, centres: np.ndarray, ef: int, n: int, needed: Sequence[int] = (), k: int = 10) -> np.ndarray:
+    """For each query the cells that it reads (bool): the nearest, as many as hold about ``ef`` of n vectors, and as the sample shows a page of k to need."""
+    least = needed[min(sum(k > page for page in PAGES), len(needed) - 1)] if needed else 1
+    return nearest_cells(queries, centres, min(len(centres), max(least, math.ceil(ef / max(1.0, n / len(centres))))))
 
 
 def nearest_cells(queries: np.ndarray, centres: np.ndarray, each: int) -> np.ndarray:

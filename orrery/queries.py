@@ -159,11 +159,11 @@ def q_validate(spark: SparkSession, d: str) -> DataFrame:
 # -- collections: the relation that a call leaves or answers -------------------------------------------------------
 
 
-def _customers(spark: SparkSession, d: str, **more: object):
+def _customers(spark: SparkSession, d: str, space: str = "l2", **more: object):
     """A collection of the customers: a vector of two columns, the others as metadata, in the order of the key."""
     from .database import VectorDatabase
 
-    index = VectorDatabase(spark).create(dim=2, space="l2", **more)
+    index = VectorDatabase(spark).create(dim=2, space=space, **more)
     rows = table(spark, d, "customer").orderBy("c_custkey")
     index.add_frame(rows.select(F.col("c_custkey").cast("string").alias("id"), F.array(F.col("c_nationkey").cast("float"), F.col("c_acctbal").cast("float")).alias("vector"), F.to_json(F.struct("c_custkey", "c_name", "c_acctbal", "c_mktsegment")).alias("metadata")))
     return index
@@ -273,6 +273,57 @@ query("presence_declared", _PRESENCE)(lambda spark, d: _presence(spark, d, index
 query("presence_undeclared", _PRESENCE)(lambda spark, d: _presence(spark, d))
 
 
+@query("stream_upsert", "SELECT c_custkey AS id, round((CASE WHEN c_custkey % 3 = 0 THEN -c_acctbal ELSE c_acctbal END)::FLOAT::DOUBLE, 2) AS second, CASE WHEN c_custkey % 3 = 0 THEN 'STREAMED' ELSE c_mktsegment END AS segment FROM customer")
+def q_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Micro-batches of a file stream, upserted into a collection."""
+    from .plans.workspace import Workspace
+    from .streaming.upsert import stream_into
+
+    index = _customers(spark, d)
+    place = Workspace(spark)
+    changed = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.array(F.lit(0.0).cast("float"), (-F.col("c_acctbal")).cast("float")).alias("vector"), F.lit('{"c_mktsegment": "STREAMED"}').alias("metadata"))
+    stream = spark.readStream.schema(changed.schema).option("maxFilesPerTrigger", 1).parquet(place.write(changed.repartition(2)))
+    stream_into(stream, index, place.path(), availableNow=True).awaitTermination()
+    return _left(index)
+
+
+#: Customers by a condition of a declared and an undeclared field, in branches that the declared one narrows.
+_MIXED = {"$or": [{"c_mktsegment": "BUILDING", "c_acctbal": {"lt": 1000}}, {"c_mktsegment": "MACHINERY", "$not": {"c_acctbal": {"lt": 5000}}}]}
+
+
+@query("narrowed_filter", "SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 1000 OR c_mktsegment = 'MACHINERY' AND NOT c_acctbal < 5000")
+def q_narrowed(spark: SparkSession, d: str) -> DataFrame:
+    return _customers(spark, d, indexed_fields=["c_mktsegment"]).frame(_MIXED).select(F.col("id").cast("long").alias("id"))
+
+
+@query("count_bounds", "SELECT 0::BIGINT AS fewest, count(*) AS most FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def q_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([_customers(spark, d, indexed_fields=["c_mktsegment"]).count_bounds(_MIXED)], "fewest long, most long")
+
+
+@query("collection_topk_batch", """
+WITH v AS (SELECT c_custkey::VARCHAR AS id, c_custkey % 20 = 0 AS asks, row_number() OVER (ORDER BY c_custkey) AS n, c_nationkey::FLOAT::DOUBLE AS a, c_acctbal::FLOAT::DOUBLE AS b FROM customer),
+s AS (SELECT q.id AS asked, v.id, round(abs(v.a - q.a) + abs(v.b - q.b), 4) AS score FROM v q, v WHERE q.asks)
+SELECT asked, id, score FROM s QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score, id) <= 5""")
+def q_collection_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set, asked of a collection in one batch (L1)."""
+    rows = _customers(spark, d, space="l1")
+    asking = rows.frame().filter(F.col("id").cast("long") % 20 == 0).orderBy("seq").select("id", "vector").collect()
+    found = rows.search_matrix(np.array([r.vector for r in asking]), top_k=5)
+    names = spark.createDataFrame([(n, r.id) for n, r in enumerate(asking)], "qid long, asked string")
+    return found.join(F.broadcast(names), "qid").select("asked", "id", F.round("score", 4).alias("score"))
+
+
+@query("rebuild_and_search", "SELECT c_custkey AS id, round(c_acctbal::FLOAT::DOUBLE, 2) AS second, c_mktsegment AS segment FROM customer WHERE c_custkey % 11 <> 0")
+def q_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Records after cells were fitted and the files dealt by them, some removed before and some after."""
+    index = _customers(spark, d)
+    index.remove_points([str(k) for k in range(0, len(index), 22)])
+    index.rebuild(m=16)
+    index.remove_where({"c_custkey": {"in": list(range(11, 20_000, 22))}})
+    return _left(index)
+
+
 @query("save_and_load", "SELECT c_custkey AS id, round(c_acctbal::FLOAT::DOUBLE, 2) AS second, c_mktsegment AS segment FROM customer")
 def q_save(spark: SparkSession, d: str) -> DataFrame:
     from .database import VectorDatabase
@@ -451,15 +502,14 @@ def q_calibrate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filtered cosine top-10 of the first twenty vectors among three labels."""
+    """Filtered cosine top-10 of the stated query set among three labels."""
     rows = vectors(spark, sf_dir)
-    queries = rows.filter("id < 20").select(F.col("id").alias("qid"), F.col("vector").alias("query"))
-    found = topk(where(rows, {"label": {"in": [0, 1, 2]}}), queries, "cosine", 10, DIGITS)
+    found = topk(where(rows, {"label": {"in": [0, 1, 2]}}), asked(rows), "cosine", 10, DIGITS)
     return found.select("qid", "rank", F.col("id").alias("vec_id"), "score")
 
 
 QUERIES["flagship"] = flagship
-ORACLES["flagship"] = _topk_sql("cosine", rows="label IN (0, 1, 2)", queries="vec_id < 20").replace("rank, id, score FROM d", "rank, id AS vec_id, score FROM d")
+ORACLES["flagship"] = _topk_sql("cosine", rows="label IN (0, 1, 2)").replace("rank, id, score FROM d", "rank, id AS vec_id, score FROM d")
 
 
 @query("neighbour_lists", f"""

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 VERSION = "1.0.0"
 MANIFEST = "manifest.json"
+#: Bytes of a manifest at most: about 100 for each file.
+MOST_MANIFEST = 256 << 20
 
 
 class Folder:
@@ -43,8 +45,11 @@ class Folder:
         out.write(text.encode())
         out.close()
 
-    def read(self, path: str) -> str:
+    def read(self, path: str, most: int) -> str:
+        """The text of a file of so many bytes at most; one that is longer is not read."""
         fs, place = self.at(path)
+        if (length := fs.getFileStatus(place).getLen()) > most:
+            raise ValueError(f"{path} has {length} bytes, more than the {most} that it can have")
         source = fs.open(place)
         try:
             return self.jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
@@ -104,7 +109,7 @@ def load(spark: SparkSession, path: str) -> tuple[dict[str, Any], dict[str, Data
     if not folder.exists(f"{path}/{MANIFEST}"):
         raise FileNotFoundError(f"No saved collection at {path}: {MANIFEST} is missing")
     try:
-        manifest = json.loads(folder.read(f"{path}/{MANIFEST}"))
+        manifest = json.loads(folder.read(f"{path}/{MANIFEST}", MOST_MANIFEST))
         version, files, names = str(manifest["format_version"]), manifest["files"], manifest["tables"]
     except (ValueError, KeyError, TypeError) as e:
         raise ValueError(f"{path}/{MANIFEST} cannot be read: {e}") from e
@@ -133,4 +138,4 @@ def describe(spark: SparkSession, path: str) -> dict[str, Any]:
     repair(spark, path)
     if not folder.exists(f"{path}/{MANIFEST}"):
         raise FileNotFoundError(f"No saved collection at {path}: {MANIFEST} is missing")
-    return json.loads(folder.read(f"{path}/{MANIFEST}"))
+    return json.loads(folder.read(f"{path}/{MANIFEST}", MOST_MANIFEST))
