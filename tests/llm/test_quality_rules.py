@@ -76,3 +76,26 @@ def test_odd_rows(spark):
     assert [(r.n_words, r.n_repeat_words, r.kept) for r in got if r.doc_id == 4] == [(100_000, 100_000, False)]
     assert all(r.kept for r in got if not r.base_failed)
     assert quality_rules(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_verdicts_against_brute_force(spark):
+    """kept and score of every document: statistics and features in plain Python, then a walk down every tree."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    trees = fit_trees(docs, labels)
+    got = {r.doc_id: r for r in quality_rules(docs, labels, trees=trees).collect()}
+    for r in docs.collect():
+        n, chars, symbols, dup, repeats = brute(r.text)
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", r.text), [x for x in r.text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        per, share = 1 / max(1, n), 1 / max(1, chars)
+        x = [np.log1p(n), chars * per, symbols * share, r.text.count("|") * share, sum(len(w) > 1 and w.isupper() for w in words) * per, r.text.count("!") * share, dup / max(1, len(lines)), repeats * per]
+        x += [sum(a == b for a, b in zip(words, words[1:], strict=False)) * per, len(set(words)) * per, min(200.0, n / max(1, len(lines))), sum(w.isdigit() for w in words) * per]
+        total = trees.start
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            k = 0
+            while k < len(feature):
+                k = 2 * k + 1 + (x[feature[k]] > threshold[k])
+            total += leaf[k - len(feature)]
+        score = 1 / (1 + np.exp(-total))
+        failed = n < 20 or 100 * repeats > 30 * n
+        assert got[r.doc_id].base_failed == failed and abs(got[r.doc_id].score - score) < 1e-9
+        assert got[r.doc_id].kept == (not failed and score >= 0.5)
