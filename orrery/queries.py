@@ -528,3 +528,6 @@ def q_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Diverse neighbour lists of the stated query set."""
     rows = vectors(spark, d)
     return neighbour_lists(rows, asked(rows), "cosine", 40, 16).withColumn("score", F.round("score", DIGITS) + F.lit(0.0))
+
+
+from . import api_queries  # noqa: E402, F401 - registers its queries
