@@ -301,19 +301,20 @@ class Collection:
     # -- search ----------------------------------------------------------------------------------------------------
 
     def search(self, vector: Any, filter: Mapping | None = None, top_k: int = 10, ef_search: int | None = None, return_vector: bool = False, rerank: int | None = None) -> Any:
-        """The page of one query (list of dicts), or of each of a batch (list of lists), nearest first."""
+        """The page of one query (list of dicts), or of each of a batch (list of lists), nearest first.
+
+        Metadata and vectors come along with the candidates, so that records are scanned once. For what is exact, and on which scale
+        scores are, see search_matrix().
+        """
         batch = isinstance(vector, np.ndarray) and vector.ndim == 2 or isinstance(vector, (list, tuple)) and len(vector) > 0 and isinstance(vector[0], (list, tuple, np.ndarray))
         if isinstance(vector, (list, tuple, np.ndarray)) and len(vector) == 0:
             raise ValueError("Batch cannot be empty" if getattr(vector, "ndim", 1) == 2 else "Search vector cannot be empty")
         queries = [check_vector(v, self.dim, f"Vector {i} in batch" if batch else "Search vector") for i, v in enumerate(vector if batch else [vector])]
         state = self._state
-        page = self._search(state, np.array(queries, np.float32), filter, top_k, ef_search, rerank)
-        kept = ["qid", "rank", "id", "score"]
+        page = self._search(state, np.array(queries, np.float32), filter, top_k, ef_search, rerank, ("json", "vector", "code") if return_vector else ("json",))
         out: list[list[dict]] = [[] for _ in queries]
         if page is not None:
-            rows = self._rows(state).select("id", "json", *(["vector", "code"] if return_vector else []))
-            found = page.select(*kept).join(rows, "id").orderBy("qid", "rank").collect()
-            for r in found:
+            for r in page.orderBy("qid", "rank").collect():
                 hit = {"id": r.id, "score": r.score, "metadata": json.loads(r.json)}
                 if return_vector:
                     hit["vector"] = self._vector(r)
@@ -336,7 +337,7 @@ class Collection:
         """
         return self._search(self._state, queries, filter, top_k, ef_search, rerank)
 
-    def _search(self, state: State, queries: np.ndarray, filter: Mapping | None, top_k: int, ef_search: int | None, rerank: int | None) -> DataFrame | None:
+    def _search(self, state: State, queries: np.ndarray, filter: Mapping | None, top_k: int, ef_search: int | None, rerank: int | None, keep: tuple[str, ...] = ()) -> DataFrame | None:
         _whole("top_k", top_k, 0, MAX_TOP_K)
         if ef_search is not None:
             _whole("ef_search", ef_search, 1, MAX_EF_SEARCH)
@@ -352,18 +353,18 @@ class Collection:
         found = []
         for start in range(0, len(queries), QUERY_BLOCK):
             part = queries[start : start + QUERY_BLOCK]
-            found.append(self._search_block(state, rows, narrowed, list(range(start, start + len(part))), part, top_k, ef_search, rerank))
+            found.append(self._search_block(state, rows, narrowed, list(range(start, start + len(part))), part, top_k, ef_search, rerank, keep))
         return reduce(DataFrame.unionByName, found)
 
-    def _search_block(self, state: State, rows: DataFrame, narrowed: bool, ids: list[int], part: np.ndarray, k: int, ef: int | None, rerank: int | None) -> DataFrame:
+    def _search_block(self, state: State, rows: DataFrame, narrowed: bool, ids: list[int], part: np.ndarray, k: int, ef: int | None, rerank: int | None, keep: tuple[str, ...]) -> DataFrame:
         near = state.cells is not None and ef is not None and ef < state.count
 
-        def run(scorer: Any, rows: DataFrame, k: int) -> DataFrame:
+        def run(scorer: Any, rows: DataFrame, k: int, keep: tuple[str, ...] = keep) -> DataFrame:
             if near:
                 mask = probes(part, state.cells, ef, state.count, state.probes, k)
                 rows = rows.filter(F.col("cell").isin([int(c) for c in np.flatnonzero(mask.any(0))]))
                 scorer = Probed(scorer, mask)
-            return scored_topk(rows, ids, scorer, k, "long")
+            return scored_topk(rows, ids, scorer, k, "long", keep=keep)
 
         if not state.active:
             return run(Exact(self.space, part, unit=True), rows, k)
@@ -375,13 +376,13 @@ class Collection:
         if not raw or rerank == 0:
             return run(by_code, rows, k)
         fetch = fetch_count(k, state.count, rerank, state.calibration)
-        return self._rescored(run(by_code, rows, fetch), rows, ids, part, k)
+        return self._rescored(run(by_code, rows, fetch, ()), rows, ids, part, k, keep)
 
-    def _rescored(self, candidates: DataFrame, rows: DataFrame, ids: list[int], part: np.ndarray, k: int) -> DataFrame:
+    def _rescored(self, candidates: DataFrame, rows: DataFrame, ids: list[int], part: np.ndarray, k: int, keep: tuple[str, ...]) -> DataFrame:
         """The candidates' raw distances, by expressions over the join of candidates, raw vectors and queries."""
         asked = self.spark.createDataFrame(pa.table({"qid": pa.array(ids, pa.int64()), "query": pa.array(part.tolist(), pa.list_(pa.float32()))}))
-        met = candidates.select("qid", "id").join(rows.select("id", "vector"), "id").join(F.broadcast(asked), "qid")
-        return best(met.select("qid", "id", distance(self.space, F.col("query"), F.col("vector"), unit=True).alias("score")), k)
+        met = candidates.select("qid", "id").join(rows.select(*dict.fromkeys(["id", "vector", *keep])), "id").join(F.broadcast(asked), "qid")
+        return best(met.select("qid", "id", distance(self.space, F.col("query"), F.col("vector"), unit=True).alias("score"), *keep), k, keep=keep)
 
     # -- counting, listing, lookup ---------------------------------------------------------------------------------
 

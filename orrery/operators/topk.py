@@ -17,6 +17,8 @@ from ..functions.metrics import block_distances, distance, pair_distances
 QUERY_BLOCK = 4096
 #: Cells of a distance matrix that a task holds at once.
 CELLS = 4_000_000
+#: Rows that a task holds before it lets go of those that are no candidates.
+STORED = 20_000
 #: Pairs whose exact distances are taken at once, and how far scores of blocks may be off, relatively.
 PAIRS, NOISE = 20_000, 1e-9
 
@@ -113,31 +115,65 @@ class Probed:
         return self.scorer.exactly(batch, q, c)
 
 
-def scored_topk(rows: DataFrame, ids: list, scorer: Exact, k: int, qid: str, digits: int | None = None) -> DataFrame:
-    """qid, rank, id, score of a block of queries (ids, in the scorer's order) by any scorer over the rows' columns that it names."""
+class Store:
+    """The rows that a pool may still need, by number: whatever a batch brings, less from time to time what no query holds any more."""
+
+    def __init__(self, pool: Pool):
+        self.pool, self.tables, self.numbers = pool, [], []
+        self.rows, self.limit = 0, STORED
+
+    def add(self, part: pa.RecordBatch, numbers: np.ndarray) -> None:
+        self.tables.append(pa.Table.from_batches([part]))
+        self.numbers.append(numbers)
+        self.rows += len(numbers)
+        if self.rows > self.limit:
+            self.compact()
+
+    def compact(self) -> tuple[pa.Table, np.ndarray]:
+        """The rows held, in the order of their numbers."""
+        self.pool.prune()
+        alive = np.unique(self.pool.held[2])
+        table = pa.concat_tables(self.tables).take(pa.array(np.searchsorted(np.concatenate(self.numbers), alive)))
+        self.tables, self.numbers, self.rows = [table], [alive], len(alive)
+        self.limit = max(STORED, 2 * len(alive))
+        return table, alive
+
+
+def scored_topk(rows: DataFrame, ids: list, scorer: Exact, k: int, qid: str, digits: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """qid, rank, id, score of a block of queries (ids, in the scorer's order) by any scorer over the rows' columns that it names.
+
+    ``keep`` names columns of the rows that come along, so that a page needs no second scan; a task holds those of candidates only.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((ids, scorer))
     slack = 0.0 if digits is None else 1.1 * 10.0**-digits
-    kind = dict(rows.dtypes)["id"]
+    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, scorer = shared.value
-        pool, seen, start = Pool(len(ids), k, slack), [], 0
+        pool, start = Pool(len(ids), k, slack), 0
+        store = Store(pool)
         step = max(1, CELLS // max(1, len(ids)))
         refined = isinstance(scorer.scorer if isinstance(scorer, Probed) else scorer, Exact)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
+                numbers = np.arange(start, start + part.num_rows)
                 exactly = (lambda q, c, part=part: scorer.exactly(part, q, c)) if refined else None
-                pool.add(scorer.scores(part), np.arange(start, start + part.num_rows), exactly)
-                seen.append(part.column("id"))
+                pool.add(scorer.scores(part), numbers, exactly)
+                store.add(part.select(["id", *keep]), numbers)
                 start += part.num_rows
-        pool.prune()
-        q, s, r = pool.held
-        if len(q):
-            names = pa.chunked_array(seen).take(pa.array(r)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), names, pa.array(s)], names=["qid", "id", "score"])
-
-    return best(rows.select("id", *scorer.columns).mapInArrow(run, f"qid {qid}, id {kind}, score double"), k, digits)
+        if start:
+            table, alive = store.compact()
+            q, s, r = pool.held
+            for i in range(0, len(q), 50_000):
+                part = slice(i, i + 50_000)
+                met = table.take(pa.array(np.searchsorted(alive, r[part]))).combine_chunks()
+                columns = [pa.array([ids[j] for j in q[part].tolist()]), met.column("id"), pa.array(s[part]), *(met.column(c) for c in keep)]
+                yield from pa.table(columns, ["qid", "id", "score", *keep]).combine_chunks().to_batches()
+
+    columns = dict.fromkeys(["id", *scorer.columns, *keep])
+    schema = f"qid {qid}, id {kinds['id']}, score double" + "".join(f", {c} {kinds[c]}" for c in keep)
+    return best(rows.select(*columns).mapInArrow(run, schema), k, digits, keep)
 
 
 def topk(rows: DataFrame, queries: DataFrame, space: str, k: int, digits: int | None = None, native: bool = False) -> DataFrame:

@@ -133,3 +133,36 @@ def test_neighbour_lists(spark):
             if len(kept) < 5 and all(d[i, j] >= d[q, i] for j in kept):
                 kept.append(int(i))
         assert got[q] == kept
+
+
+def test_cells_keep_their_recall_where_vectors_have_none(spark):
+    """Vectors without clusters: a search by few candidates reads as many cells as its sample needs, and still not all."""
+    from orrery import VectorDatabase
+
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3_000, 16)).astype(np.float32)
+    index = VectorDatabase(spark).create(dim=16)
+    index.add({"ids": [str(i) for i in range(3_000)], "vectors": x})
+    queries = x[::20] + 0.01
+    exact = index.search_matrix(queries, top_k=10).collect()
+    index.rebuild(m=16)
+    found = index.search_matrix(queries, top_k=10, ef_search=20).collect()
+    assert len({(r.qid, r.id) for r in found} & {(r.qid, r.id) for r in exact}) >= 0.9 * len(exact)
+    assert index._state.probes[0] < len(index._state.cells)
+
+
+def test_columns_come_along(spark, monkeypatch):
+    """Kept columns belong to their rows, however often a task lets go of rows that are no candidates."""
+    from orrery.operators import topk as module
+
+    monkeypatch.setattr(module, "STORED", 50)
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((2_000, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), f"note {i}") for i, v in enumerate(x)], "id long, vector array<float>, note string").repartition(3)
+    got = module.scored_topk(rows, ["a", "b"], module.Exact("l2", x[:2].astype(float)), 7, "string", keep=("note", "vector")).collect()
+    assert len(got) == 14
+    for r in got:
+        assert r.note == f"note {r.id}" and np.allclose(r.vector, x[r.id])
+    for q, name in enumerate("ab"):
+        want = np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:7].tolist()
+        assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.qid == name] == want
