@@ -14,8 +14,8 @@ from pyspark.sql.types import StructType
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same for Spark's and DuckDB's regular expressions.
 WORD_GAP_SQL = r"[\x20\x09-\x0D]+"
-#: Rows that one Arrow batch to Python may hold, and characters that are handled together there.
-BATCH_ROWS, BATCH_CHARS = 2000, 4_000_000
+#: Rows and bytes that one Arrow batch to Python may hold.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 #: ASCII letters only: lower-casing that leaves other scripts and text lengths alone.
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -38,7 +38,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     Only a session on one machine (a local master, as in tests) may do without that setting and gets a temporary folder; on a
     cluster a folder of one machine would lose or hide data, so that is an error.
     """
-    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", 32 << 20)):
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         if not spark._jsparkSession.conf().contains(f"spark.sql.execution.arrow.{key}"):
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
     context = spark.sparkContext
@@ -63,15 +63,3 @@ def unused(name: str, columns: list[str]) -> str:
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     prepare(df.sparkSession)
     return df.mapInArrow(function, schema)
-
-
-def pieces(lengths: list[int], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Split a batch at row borders so that each piece holds about ``most`` characters, or a single row."""
-    start = held = 0
-    for i, n in enumerate(lengths):
-        if held and held + n > most:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(lengths):
-        yield start, len(lengths)

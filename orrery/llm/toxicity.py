@@ -35,7 +35,7 @@ BLOCK, TOGETHER = 64, 256
 #: Cosines are compared to so many parts, so that equal ones tie whatever the order of sums.
 PARTS = 10**9
 #: Words that a worker remembers.
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 100_000
 
 
 def word_terms(word: str) -> list[str]:
@@ -188,7 +188,7 @@ class BlockMaxIndex:
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each query the k documents of largest positive cosine (ties: the smaller index) in that order, and the cosines; -1 and 0
-        where there are fewer. Blocks come in the order of their bounds, a few first, then all that can still matter."""
+        where there are fewer. Blocks come in the order of their bounds, a few first, then by 32 those that can still matter."""
         m = len(queries)
         best = np.zeros((m, k), np.int64)  # cosine in parts, then the index from behind: larger is nearer
         if not self.blocks or not m:
@@ -224,7 +224,7 @@ class BlockMaxIndex:
                 keys[(keys > 0) & (keys % (self.blocks * BLOCK) == own[:, None])] = 0
             both = np.concatenate([best[rows], keys], 1)
             best[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-            first, width = first + width, 8 * width
+            first, width = first + width, 32
         best = -np.sort(-best, axis=1)
         found = best > 0
         return np.where(found, self.blocks * BLOCK - 1 - best % (self.blocks * BLOCK), -1), np.where(found, best // (self.blocks * BLOCK) / PARTS, 0.0)
