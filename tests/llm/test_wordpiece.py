@@ -56,3 +56,11 @@ def test_odd_rows(spark):
     long = count("a" * 300_000)
     assert got == sorted([two, two, (None, 1, count("é"), count("é")), (2, 0, 0, 0), (3, 0, 0, 0), (4, 1, long, long)], key=str)
     assert token_counts(df.limit(0), PATH).count() == 0
+
+
+def test_very_long_words_and_texts(spark):
+    """Time grows with the length: a word of a million characters, and a text of as many words."""
+    rows = [(1, "ab" * 500_000, 5), (2, "word " * 500_000, 6)]
+    got = {r.doc_id: r for r in token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"), PATH).collect()}
+    assert got[1].n_words == 1 and 100_000 < got[1].n_tokens < 1_000_000
+    assert got[2].n_words == got[2].n_tokens == 500_000
