@@ -13,6 +13,7 @@ def db(spark):
     return VectorDatabase(spark)
 
 
+#: The quick start, whose results must come out the same.
 QUICK = [
     ("doc_001", [0.1, 0.2, 0.3, 0.1, 0.4, 0.2, 0.6, 0.7], {"author": "Alice"}),
     ("doc_002", [0.9, 0.1, 0.4, 0.2, 0.8, 0.5, 0.3, 0.9], {"author": "Bob"}),
