@@ -186,7 +186,7 @@ class Collection:
             segment = starts[place - 1]
             rows = self.spark.read.schema(row_schema(self.config.indexed_fields)).parquet(segment.path)
             inside = dead.filter((F.col("row_id") >= segment.first) & (F.col("row_id") < segment.end))
-            fresh[segment] = replace(segment, path=self._space.write(self._clustered(rows.join(inside, "row_id", "left_anti"))))
+            fresh[segment] = replace(segment, path=self._space.write(self._clustered(rows.join(inside, "row_id", "left_anti")), "id"))
             left -= held[place]
         for segment in fresh:
             dead = dead.filter((F.col("row_id") < segment.first) | (F.col("row_id") >= segment.end))
@@ -289,7 +289,7 @@ class Collection:
         keep = not (state.active and self.config.quantization.storage_mode == "quantized_only")
         based = rows.select((F.col("ordinal") + self._row).alias("row_id"), "id", (F.col("ordinal") + self._seq + 1).alias("seq"), "vector", "json")
         made = stored_rows(based, self.space, self.config.indexed_fields, state.codebook if state.active else None, state.cells, keep)
-        path = self._space.write(self._clustered(made))
+        path = self._space.write(self._clustered(made), "id")
         inserted = self.spark.read.parquet(path).count()
         if there is not None and overwrite:
             state, _ = self._marked(state, there.join(self.spark.read.parquet(path).select("id"), "id", "left_semi"))
@@ -492,7 +492,7 @@ class Collection:
         fresh = stored_rows(staged.select((F.col("ordinal") + base).alias("row_id"), "id", "seq", F.coalesce("vector", F.array_repeat(F.lit(0.0).cast("float"), self.dim)).alias("vector"), "json"), "l2", self.config.indexed_fields, None, None, True)
         kept = staged.select("id", "vector", "code", "cell")
         joined = fresh.drop("vector", "code", "cell").join(kept, "id").select("row_id", "id", "seq", "vector", "code", "cell", "json", "fields", *(["declared"] if self.config.indexed_fields else []))
-        path = self._space.write(self._clustered(joined))
+        path = self._space.write(self._clustered(joined), "id")
         state, _ = self._marked(self._state, staged.select("row_id"))
         self._state = replace(state, segments=(*state.segments, Segment(path, base, base + n)), count=state.count + n)
         self._row += n
@@ -527,7 +527,7 @@ class Collection:
 
     def _rewritten(self, rows: DataFrame, **more: Any) -> State:
         """The state with rows, which hold all live records, in one segment."""
-        return replace(self._state, segments=(Segment(self._space.write(rows), 0, self._row),), dead=(), stranded=0, **more)
+        return replace(self._state, segments=(Segment(self._space.write(rows, "id"), 0, self._row),), dead=(), stranded=0, **more)
 
     @exclusive
     def rebuild(self, m: int | None = None, expected_size: int | None = None, ef_construction: int | None = None) -> int:
@@ -765,7 +765,7 @@ class Collection:
             raise wrong("the codebook is all zeros")
         # A later save at the same path replaces that folder, so a loaded collection works on its own copy; copying checks every record.
         rows = self.spark.read.schema(row_schema(config.indexed_fields)).parquet(f"{path.rstrip('/')}/records")
-        copy = self._space.write(rows.withColumn("vector", _checked(rows, config, active, arrays["cells"])))
+        copy = self._space.write(rows.withColumn("vector", _checked(rows, config, active, arrays["cells"])), "id")
         found = spark.read.parquet(copy).agg(F.count("*").alias("n"), F.count("id").alias("named"), F.count(F.when(F.col("vector").isNull() & F.col("code").isNull(), 1)).alias("empty"), F.coalesce(F.max("row_id"), F.lit(-1)).alias("row"), F.coalesce(F.max("seq"), F.lit(0)).alias("seq")).first()
         if (found.n, found.named, found.empty) != (count, count, 0):
             raise wrong(f"the records do not fit the manifest ({found.n} rows, {count} expected, {found.n - found.named} without an id, {found.empty} without a vector)")

@@ -24,7 +24,10 @@ class Workspace:
         self.made += 1
         return f"{self.base}/{self.made}"
 
-    def write(self, df: DataFrame) -> str:
-        path = self.path()
-        df.write.parquet(path)
+    def write(self, df: DataFrame, lookup: str | None = None) -> str:
+        """A table at a path of its own; by values of the column ``lookup`` its row groups can be skipped (Bloom filters)."""
+        path, writer = self.path(), df.write
+        if lookup:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{lookup}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer.parquet(path)
         return path

@@ -204,3 +204,14 @@ def test_file_logs_rotate_and_are_kept_in_number(tmp_path, monkeypatch):
     logging.getLogger("orrery").removeHandler(handler)
     handler.close()
     assert sorted(p.name for p in tmp_path.iterdir()) == ["x.log", "x.log.1", "x.log.2"]
+
+
+def test_lookups_by_id_have_bloom_filters(db):
+    import duckdb
+
+    index, _ = filled(db, 50)
+    index.compact()
+    for segment in index._state.segments:
+        found = duckdb.sql(f"SELECT path_in_schema, bloom_filter_offset FROM parquet_metadata('{segment.path.removeprefix('file:')}/*.parquet')").fetchall()
+        assert all((offset is not None) == (name == "id") for name, offset in found)
+    assert "r7" in index and "nobody" not in index and index.get_records(["r7", "x"])[0]["id"] == "r7"
