@@ -209,8 +209,10 @@ def _with_next(docs: DataFrame) -> tuple[DataFrame, bool]:
         sent = sent.union(own.join(F.broadcast(guests.filter("name is not null")), named, "left").select("doc_id", "text", "copies", "bucket", "part", "to"))
     places = F.array(F.struct("bucket", "part", F.lit(False).alias("guest")), F.struct(F.col("to.bucket"), F.col("to.part"), F.lit(True).alias("guest")))
     sent = sent.select("doc_id", "text", "copies", F.explode(F.filter(places, lambda p: p["bucket"].isNotNull())).alias("place"))
-    dealt = sent.select("doc_id", "text", "copies", "place.*").repartition("bucket", "part")
-    order = Window.partitionBy("bucket", "part").orderBy("guest", F.col("doc_id").desc_nulls_last(), "length", "digest")
+    # As many tasks as slots, told by number: a hash would lay some slots on one task and leave others empty.
+    number = F.pmod(F.col("bucket") + 1 + F.col("part"), F.lit(most + 1)).cast("int")
+    dealt = sent.select("doc_id", "text", "copies", "place.*").withColumn("task", number).repartitionById(most + 1, "task")
+    order = Window.partitionBy("task", "bucket", "part").orderBy("guest", F.col("doc_id").desc_nulls_last(), "length", "digest")
     shown = dealt.withColumn("taken", grain(F.col("text"))).select("*", anchors(F.col("text"), F.col("taken")).alias("found"), F.length("text").alias("length"), F.sha2("text", 256).alias("digest"))
     following = F.lead(F.struct("text", "taken", "found")).over(order)
     next_found = F.when(F.col("next.taken") == F.col("taken"), F.col("next.found")).otherwise(anchors(F.col("next.text"), F.col("taken")))
