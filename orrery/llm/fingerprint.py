@@ -119,7 +119,7 @@ def shift_votes(a: Column, b: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """The anchors that agree on the commonest shift, in proportion to the anchors of either text; 1 if both have none."""
-    agree = F.coalesce(_agreeing(a, b, lambda s, e: F.array_max(_runs(e))), F.lit(0))
+    agree = F.coalesce(F.when(F.arrays_overlap(a["hash"], b["hash"]), _agreeing(a, b, lambda s, e: F.array_max(_runs(e)))), F.lit(0))
     both = F.size(a) + F.size(b)
     return F.when(both == 0, 1.0).otherwise(let(agree, lambda n: n / (both - n)))
 
@@ -133,13 +133,12 @@ def _bucket(bounds: list[int] | Column) -> Column:
     return F.when(F.col("doc_id").isNull(), 0).otherwise(found)
 
 
-def _bucketed(rows: DataFrame, ids: DataFrame, hot: DataFrame, most: int, scratch: Scratch) -> Callable[[DataFrame], DataFrame]:
+def _bucketed(ids: DataFrame, hot: DataFrame, most: int, lowest: int | None, highest: int | None, scratch: Scratch) -> Callable[[DataFrame], DataFrame]:
     """A function that adds ``bucket`` to rows with a doc_id: quantiles of the ids, larger for larger ids, -1 for null; hot ids have their own.
 
     The bounds stay in a table: ids are cut into cells of a power of two, and a cell's row holds its bounds and the number
     of those below it. That table has at most 4 * ``most`` + 1 rows, so it is sent to every task.
     """
-    lowest, highest = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
     if most <= 1 or lowest is None:
         return lambda df: df.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("long"))
     shift = 0
@@ -149,7 +148,7 @@ def _bucketed(rows: DataFrame, ids: DataFrame, hot: DataFrame, most: int, scratc
     cuts = ids.agg(quantiles.alias("cuts")).select(F.explode("cuts").alias("cut"))
     own = hot.select(F.explode(F.array(F.col("doc_id"), F.when(F.col("doc_id") > lowest, F.col("doc_id") - 1))).alias("cut")).dropna()
     inside = cuts.union(own).distinct().groupBy(F.shiftright("cut", shift).alias("cell")).agg(F.sort_array(F.collect_list("cut")).alias("inside"))
-    every = rows.sparkSession.range(lowest >> shift, (highest >> shift) + 1).select(F.col("id").alias("cell")).join(inside, "cell", "left")
+    every = ids.sparkSession.range(lowest >> shift, (highest >> shift) + 1).select(F.col("id").alias("cell")).join(inside, "cell", "left")
     before = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     held = F.coalesce("inside", F.array().cast("array<long>"))
     cells = scratch.save(every.select("cell", held.alias("inside"), F.coalesce(F.sum(F.size(held)).over(before), F.lit(0)).alias("base")))
@@ -186,12 +185,13 @@ def _with_next(docs: DataFrame) -> tuple[DataFrame, bool]:
     scratch = Scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select("doc_id")
-    n = ids.count()
-    most = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
+    n, lowest, highest = ids.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    cores = min(spark.sparkContext.defaultParallelism, n // 100)  # a small table still has work for all of them
+    most = max(1, cores, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
     hot = scratch.save(ids.groupBy("doc_id").agg(F.count("*").alias("rows")).filter(F.col("rows") > 4 * -(-n // most)))  # at most most / 4 ids
     hot_ids = hot.count()
     heated = hot_ids > 0
-    add = _bucketed(rows, ids, hot, most, scratch)
+    add = _bucketed(ids, hot, most, lowest, highest, scratch)
     same = F.col("doc_id").eqNullSafe(F.col("hot_id"))
     cool = lambda df: df.join(F.broadcast(hot.select(F.col("doc_id").alias("hot_id"))), same, "left_anti") if heated else df
     heads = add(cool(ids)).groupBy("bucket").agg(F.max("doc_id").alias("head")).select("bucket", F.lit(0).alias("part"), "head", F.lit(None).cast("string").alias("name"))

@@ -342,15 +342,18 @@ def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 1) ->
     best = (1e-9, 0, 0.0)
     whole = len(y) * y.mean() * (1 - y.mean())
     for j in (8, 9, *(k for k in range(x.shape[1]) if k not in (8, 9))):  # where splits are equally good, hints give the simpler rule
-        values = np.unique(x[:, j])
-        for cut in (values[:-1] + values[1:]) / 2:
-            left = y[x[:, j] <= cut]
-            right = y[x[:, j] > cut]
-            if min(len(left), len(right)) < least:
-                continue
-            gain = whole - len(left) * left.mean() * (1 - left.mean()) - len(right) * right.mean() * (1 - right.mean())
-            if gain > best[0] + 1e-9:
-                best = (gain, j, float(cut))
+        order = np.argsort(x[:, j], kind="stable")
+        values, kept = x[order, j], np.cumsum(y[order])
+        n = np.arange(1, len(y))
+        here = np.flatnonzero((values[:-1] < values[1:]) & (n >= least) & (len(y) - n >= least))
+        if not len(here):
+            continue
+        n, left = n[here], kept[here]
+        right = kept[-1] - left
+        gains = np.round(whole - left * (1 - left / n) - right * (1 - right / (len(y) - n)), 9)
+        at = int(np.argmax(gains))
+        if gains[at] > best[0] + 1e-9:
+            best = (float(gains[at]), j, float((values[here[at]] + values[here[at] + 1]) / 2))
     if best[0] <= 1e-9:
         return (float(y.mean()),)
     go = x[:, best[1]] <= best[2]
