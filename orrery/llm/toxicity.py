@@ -56,11 +56,25 @@ class Vocabulary:
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        self.index = {t: i for i, t in enumerate(terms)}
-        self.bases = {t.rpartition("@")[0] for t in terms}
+        self.levels: dict[str, list[int]] = {}  # the number of each base's term at every level, -1 where that is not selected
+        for i, t in enumerate(terms):
+            base, _, level = t.rpartition("@")
+            self.levels.setdefault(base, [-1] * LEVELS)[int(level) - 1] = i
+        #: For each length of a leading part those that are terms (a word itself never ends in *).
+        self.stems = [(k, {t[:k]: t for t in self.levels if len(t) == k + 1 and t.endswith("*")}) for k in STEMS]
         self.known: dict[str, tuple[str, ...]] = {}
         self.without: set[str] = set()
 
+    def terms_of(self, word: str) -> tuple[str, ...]:
+        """word_terms(word), of those selected."""
+        found, n = [word] if word in self.levels else [], len(word)
+        for k, starts in self.stems:
+            if n <= k:
+                break
+            if (term := starts.get(word[:k])) is not None:
+                found.append(term)
+        return tuple(found)
+
     def count(self, text: str) -> list[tuple[int, int]]:
         """(term, count) of each selected term in the text, by term."""
         words = LETTERS.findall(text.lower())
@@ -71,7 +85,7 @@ class Vocabulary:
         for word in set(words) - self.without:
             terms = self.known.get(word)
             if terms is None:
-                terms = tuple(t for t in word_terms(word) if t in self.bases)
+                terms = self.terms_of(word)
                 if len(word) < 40:
                     if terms:
                         self.known[word] = terms
@@ -85,10 +99,8 @@ class Vocabulary:
             n = times(word)
             for term in terms:
                 found[term] = found.get(term, 0) + n
-        out = []
-        for term, n in found.items():
-            out += [(i, n - level + 1) for level in range(1, min(n, LEVELS) + 1) if (i := self.index.get(f"{term}@{level}")) is not None]
-        return sorted(out)
+        levels = self.levels
+        return sorted([(i, n - above) for term, n in found.items() for above, i in enumerate(levels[term][:n]) if i >= 0])
 
 
 def select_terms(sample: DataFrame, most: int, common: int, scratch: Scratch, least: int = 3, least_chi2: float = 30.0) -> list[str]:
