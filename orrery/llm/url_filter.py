@@ -44,7 +44,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, st
     method's answer for URLs that no list names (null and malformed URLs have empty host and path, and so ``default``, unless
     a rule has an empty host). Each row is judged by its url alone: repeated rows and ids stay, null ids stay, other columns
     are ignored, an empty table gives an empty result. Expressions are made for distinct hosts and paths only and no longer
-    than the longest rule, so a hot host costs one expansion for each of its paths and a very long URL no more than the rules.
+    than the longest rule, so a hot host costs one expansion for each of its paths and a very long URL no more than the rules. The
+    rows of a hot URL meet one row in the last join; adaptive execution splits the part that they fill.
     """
     if not isinstance(rules, DataFrame):
         given = F.array(*(F.struct(*map(F.lit, r)) for r in rules)).cast("array<struct<host:string,path:string,verdict:string>>")
