@@ -72,3 +72,12 @@ def test_calibration_sample_is_no_prefix(spark, monkeypatch):
     monkeypatch.setattr(queries, "hashed", lambda rows, most, old=queries.hashed: seen.append([r.id for r in old(rows, 100).collect()]) or old(rows, most))
     queries.q_calibrate(spark, SF)
     assert len(seen[0]) == 100 and max(seen[0]) > 300
+
+
+@pytest.mark.parametrize("name", ["collection_topk_rescored"])
+def test_searches_beyond_the_fixed_limits(spark, duck, monkeypatch, name):
+    """A collection of more records than the fixed limits can still be read whole."""
+    from orrery import collection
+
+    monkeypatch.setattr(collection, "MAX_TOP_K", 100)
+    test_like_sql(spark, duck, name)
