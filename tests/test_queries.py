@@ -74,10 +74,11 @@ def test_calibration_sample_is_no_prefix(spark, monkeypatch):
     assert len(seen[0]) == 100 and max(seen[0]) > 300
 
 
-@pytest.mark.parametrize("name", ["collection_topk_rescored"])
+@pytest.mark.parametrize("name", ["collection_topk_rescored", "collection_topk_cells"])
 def test_searches_beyond_the_fixed_limits(spark, duck, monkeypatch, name):
     """A collection of more records than the fixed limits can still be read whole."""
     from orrery import collection
 
     monkeypatch.setattr(collection, "MAX_TOP_K", 100)
+    monkeypatch.setattr(collection, "MAX_EF_SEARCH", 100)
     test_like_sql(spark, duck, name)
