@@ -82,3 +82,12 @@ def test_searches_beyond_the_fixed_limits(spark, duck, monkeypatch, name):
     monkeypatch.setattr(collection, "MAX_TOP_K", 100)
     monkeypatch.setattr(collection, "MAX_EF_SEARCH", 100)
     test_like_sql(spark, duck, name)
+
+
+def test_batch_ranks_rounded_scores(spark, duck, tmp_path):
+    """Scores that are the same at four digits are ties, and go by id."""
+    duck.execute("CREATE OR REPLACE TEMP TABLE near AS SELECT k AS c_custkey, 'x' AS c_name, 0 AS c_nationkey, b::DOUBLE AS c_acctbal, 'BUILDING' AS c_mktsegment FROM (VALUES (0, 10.02), (1, 10.01), (2, 10.03), (3, 9.99), (4, 10.05), (5, 10.02), (6, 10.07), (7, 9.97), (8, 10.12), (9, 9.92)) v(k, b)")
+    duck.execute(f"COPY near TO '{tmp_path}/customer.parquet'")
+    df = QUERIES["collection_topk_batch"](spark, str(tmp_path))
+    want = duck.execute(ORACLES["collection_topk_batch"].replace("FROM customer", "FROM near"))
+    assert plain(df.collect(), df.columns, "")[0] == plain(want.fetchall(), [c[0] for c in want.description], "")[0]
