@@ -91,3 +91,13 @@ def test_batch_ranks_rounded_scores(spark, duck, tmp_path):
     df = QUERIES["collection_topk_batch"](spark, str(tmp_path))
     want = duck.execute(ORACLES["collection_topk_batch"].replace("FROM customer", "FROM near"))
     assert plain(df.collect(), df.columns, "")[0] == plain(want.fetchall(), [c[0] for c in want.description], "")[0]
+
+
+def test_rebuild_removes_whatever_the_keys(spark, duck, tmp_path):
+    """Keys beyond 20,000 and with gaps are removed before and after the rebuild too."""
+    duck.execute(f"COPY (SELECT 30_000 + 3 * c_custkey AS c_custkey, * EXCLUDE c_custkey FROM customer) TO '{tmp_path}/customer.parquet'")
+    df = QUERIES["rebuild_and_search"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    want = con.execute(ORACLES["rebuild_and_search"])
+    assert plain(df.collect(), df.columns, "")[0] == plain(want.fetchall(), [c[0] for c in want.description], "")[0]
