@@ -101,3 +101,13 @@ def test_rebuild_removes_whatever_the_keys(spark, duck, tmp_path):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
     want = con.execute(ORACLES["rebuild_and_search"])
     assert plain(df.collect(), df.columns, "")[0] == plain(want.fetchall(), [c[0] for c in want.description], "")[0]
+
+
+def test_rebuild_is_searched(spark, monkeypatch):
+    """The page comes from a search by the cells that were made, after the removals."""
+    from orrery.operators import topk
+
+    seen = []
+    monkeypatch.setattr(topk.Probed, "__init__", lambda self, *a, old=topk.Probed.__init__: seen.append(1) or old(self, *a))
+    rows = QUERIES["rebuild_and_search"](spark, SF).filter("rank is not null").orderBy("rank").collect()
+    assert seen and [r["rank"] for r in rows] == list(range(1, 101)) and rows[0].id == 40 and not any(r.id % 11 == 0 for r in rows)
