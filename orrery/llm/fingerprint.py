@@ -214,9 +214,10 @@ def _with_next(docs: DataFrame) -> tuple[DataFrame, bool]:
     dealt = sent.select("doc_id", "text", "copies", "place.*").withColumn("task", number).repartitionById(most + 1, "task")
     order = Window.partitionBy("task", "bucket", "part").orderBy("guest", F.col("doc_id").desc_nulls_last(), "length", "digest")
     shown = dealt.withColumn("taken", grain(F.col("text"))).select("*", anchors(F.col("text"), F.col("taken")).alias("found"), F.length("text").alias("length"), F.sha2("text", 256).alias("digest"))
-    following = F.lead(F.struct("text", "taken", "found")).over(order)
-    next_found = F.when(F.col("next.taken") == F.col("taken"), F.col("next.found")).otherwise(anchors(F.col("next.text"), F.col("taken")))
-    return shown.withColumn("next", following).filter("not guest").select("doc_id", "text", "copies", "taken", "found", F.col("next.text").alias("next_text"), next_found.alias("next_found")), heated
+    # Column by column, so that a query that wants the edited texts only carries no anchors.
+    following = shown.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "taken", "found"))).filter("not guest")
+    next_found = F.when(F.col("next_taken") == F.col("taken"), F.col("next_found")).otherwise(anchors(F.col("next_text"), F.col("taken")))
+    return following.select("doc_id", "text", "copies", "taken", "found", "next_text", next_found.alias("next_found")), heated
 
 
 def _described(rows: DataFrame) -> DataFrame:

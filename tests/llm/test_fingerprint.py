@@ -187,3 +187,13 @@ def test_hot_ids(spark, monkeypatch):
         check(got, rows)
     least = [r for r in got if r.doc_id == 30 and r.n_chars == 1]
     assert len(least) == 50 and sum(r.near_next == 1 for r in least) >= 49
+
+
+def test_edits_alone_need_no_anchors(spark):
+    """Who wants the edited texts only pays for no word hashes."""
+    from orrery.llm.fingerprint import fingerprints
+
+    docs = spark.createDataFrame([(i, f"text {i} of some words") for i in range(500)], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
+    whole = fingerprints(docs)
+    assert "split(" in plan(whole) and "split(" not in plan(whole.select("doc_id", "n_chars", "edited_sha256"))
