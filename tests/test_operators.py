@@ -166,3 +166,22 @@ def test_columns_come_along(spark, monkeypatch):
     for q, name in enumerate("ab"):
         want = np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:7].tolist()
         assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.qid == name] == want
+
+
+def test_bounds_hold_the_fetch(spark):
+    """Within a bound lie as many rows as are to be fetched, and few more, even where the sample that laid the bins misleads."""
+    from orrery.operators.quantize import encode
+    from orrery.operators.rerank import code_bounds
+
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3_000, 8)).astype(np.float32)
+    book = np.stack([kmeans(x[:, i : i + 2].astype(float), 16) for i in range(0, 8, 2)]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").repartition(3)
+    codes, q = encode_block(x, book), x[:7].astype(float)
+    table = ((q.reshape(7, 4, 1, 2) - book.astype(float)[None]) ** 2).sum(3)
+    far = sum(table[:, i, :][:, codes[:, i]] for i in range(4))
+    for sample, most in ((codes[::3], 330), (codes[:5], 3_000)):
+        bounds = code_bounds(encode(rows, book, ("vector",)), q, book, 300, 3_000, sample)
+        held = (far <= bounds[:, None]).sum(1)
+        assert (held >= 300).all() and (held <= most).all()
+    assert np.isinf(code_bounds(rows, q, book, 3_000, 3_000, codes)).all()
