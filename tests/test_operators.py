@@ -185,3 +185,14 @@ def test_bounds_hold_the_fetch(spark):
         held = (far <= bounds[:, None]).sum(1)
         assert (held >= 300).all() and (held <= most).all()
     assert np.isinf(code_bounds(rows, q, book, 3_000, 3_000, codes)).all()
+
+
+def test_native_scoring_of_many_queries(spark, monkeypatch):
+    from orrery.operators import topk as module
+
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((120, 4)))], "id long, vector array<float>")
+    queries = rows.filter("id < 25").select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+    whole = sorted(map(tuple, topk(rows, queries, "cosine", 5, 6).collect()))
+    monkeypatch.setattr(module, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, module.native_topk(rows, queries, "cosine", 5, 6).collect())) == whole
